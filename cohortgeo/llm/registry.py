@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortgeo.llm import language_id, licenses, packing, pii, simhash, token_counts, url_filter
+from cohortgeo.llm import language_id, licenses, packing, pii, simhash, suffix_dedup, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         for f in (
             language_id.op1_language_id,
             token_counts.op2_token_counts,
+            suffix_dedup.op3_suffix_dedup,
             simhash.op6_simhash,
             pii.op7_pii,
             url_filter.op8_url_filter,
