@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortgeo.llm import decontaminate, language_id, licenses, packing, pii, simhash, suffix_dedup, token_counts, url_filter
+from cohortgeo.llm import decontaminate, language_id, licenses, nearest, packing, pii, simhash, suffix_dedup, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
             token_counts.op2_token_counts,
             suffix_dedup.op3_suffix_dedup,
             decontaminate.op4_benchmark_decontamination,
+            nearest.op5_nearest_neighbours,
             simhash.op6_simhash,
             pii.op7_pii,
             url_filter.op8_url_filter,
