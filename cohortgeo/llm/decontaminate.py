@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohortgeo.llm.common import bounded_batches, utf8
+from cohortgeo.llm.common import bounded_batches, map_batches, utf8
 
 LEAST, TARGET = 0.8, 0.95
 REPEATS, SEED = 10, 20_240
@@ -230,64 +230,80 @@ def _member(key: np.ndarray, known: np.ndarray) -> np.ndarray:
     return maybe
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[Index]:
+    """Indexes of about ITEMS items each."""
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    blocks = -(-items.count() // ITEMS)
+    for b in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
+        yield Index(sorted([(r["i"], r["t"]) for r in part.collect()], key=lambda x: (str(x[0]), x[1])))
+
+
+def _best(index: Index, data: np.ndarray, offsets: np.ndarray, least: float) -> dict[tuple[int, int], tuple[float, int]]:
+    """(text, item) -> similarity and first byte of the best window."""
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    for first, last, pieces in _pieces(offsets, 2 * index.bytes + 64):
+        starts = np.array([s - first for s, _, _ in pieces])
+        symbols, begin = words(data[first:last], np.append(starts, last - first))
+        if not len(symbols):
+            continue
+        owner = np.searchsorted(starts, begin, "right") - 1
+        room = np.searchsorted(owner, owner, "right") - np.arange(len(symbols))
+        window, item = index.candidates(symbols, room)
+        similar = index.verify(symbols, room, window, item, least)
+        for k in np.flatnonzero(similar >= least - 1e-12).tolist():
+            doc = pieces[int(owner[window[k]])][2]
+            key, value = (doc, int(item[k])), (float(similar[k]), int(begin[window[k]] + first - offsets[doc]))
+            if key not in best or (value[0], -value[1]) > (best[key][0], -best[key][1]):
+                best[key] = value
+    return best
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """(id, item, similarity, first_byte): every item that a document holds, the best window of each."""
     spark = docs.sparkSession
     bounded_batches(spark)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {kind}, item {item_kind}, similarity double, first_byte long"
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    total = items.count()
-    blocks = -(-total // ITEMS)
-    if blocks > 1:
-        items = items.withColumn("blk", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
+    types = pa.schema([("id", _arrow(kind)), ("item", _arrow(item_kind)), ("similarity", pa.float64()), ("first_byte", pa.int64())])
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = spark.createDataFrame([], schema)
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.col("blk") == b)
-        index = Index(sorted([(r["i"], r["t"]) for r in part.collect()], key=lambda x: (str(x[0]), x[1])))
-        shared = spark.sparkContext.broadcast(index)  # ITEMS rows at most, about
+    out = None
+    for index in _blocks(benchmark, item_col, item_text):
+        shared = spark.sparkContext.broadcast(index)  # ITEMS rows, about
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            out_type = pa.schema([("id", _arrow(kind)), ("item", _arrow(item_kind)), ("similarity", pa.float64()), ("first_byte", pa.int64())])
             for batch in batches:
-                data, offsets = utf8(batch.column(1))
-                best: dict[tuple[int, int], tuple[float, int]] = {}
-                for first, last, pieces in _pieces(offsets, 2 * index.bytes + 64):
-                    part = data[first:last]
-                    symbols, begin = words(part, np.array([s - first for s, _, _ in pieces] + [last - first]))
-                    if not len(symbols):
-                        continue
-                    starts = np.array([s - first for s, _, _ in pieces])
-                    owner = np.searchsorted(starts, begin, "right") - 1
-                    end = np.searchsorted(owner, owner, "right")
-                    room = end - np.arange(len(symbols))
-                    window, item = index.candidates(symbols, room)
-                    similar = index.verify(symbols, room, window, item, least)
-                    for k in np.flatnonzero(similar >= least - 1e-12).tolist():
-                        p = int(owner[window[k]])
-                        doc = pieces[p][2]
-                        key, value = (doc, int(item[k])), (float(similar[k]), int(begin[window[k]] + first - offsets[doc]))
-                        if key not in best or (value[0], -value[1]) > (best[key][0], -best[key][1]):
-                            best[key] = value
-                if best:
-                    ids = batch.column(0)
-                    rows = sorted(best.items())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(pa.array([d for (d, _), _ in rows])),
-                            pa.array([index.ids[i] for (_, i), _ in rows], out_type.field("item").type),
-                            pa.array([v[0] for _, v in rows]),
-                            pa.array([v[1] for _, v in rows], pa.int64()),
-                        ],
-                        schema=out_type,
-                    )
-
-        out = base.mapInArrow(run, schema) if b == 0 else out.unionByName(base.mapInArrow(run, schema))
+                rows = sorted(_best(shared.value, *utf8(batch.column(1)), least).items())
+                if rows:
+                    columns = [
+                        batch.column(0).take(pa.array([d for (d, _), _ in rows])),
+                        pa.array([shared.value.ids[i] for (_, i), _ in rows], types.field("item").type),
+                        pa.array([v[0] for _, v in rows]),
+                        pa.array([v[1] for _, v in rows], pa.int64()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, schema=types)
+
+        found = base.mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
+    out = spark.createDataFrame([], schema) if out is None else out
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
+def mark_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
+    """`keep` (which holds text_col) and n_leaks, the items that each row's text holds; no join, so null and repeated ids do no harm."""
+    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0).cast("long").alias("n_leaks"))
+    for index in _blocks(benchmark, item_col, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def work(batch: pa.RecordBatch, shared=shared) -> dict:
+            column = batch.column(batch.schema.names.index(text_col))
+            found = [d for d, _ in _best(shared.value, *utf8(column), least)]
+            return {"more": np.bincount(np.array(found, np.int64), minlength=len(column))}
+
+        out = map_batches(out, out.columns, "more long", work).withColumn("n_leaks", F.col("n_leaks") + F.col("more")).drop("more")
+    return out
+
+
 def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[kind]
 
