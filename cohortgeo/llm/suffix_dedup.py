@@ -8,7 +8,7 @@ A byte is removed if a string of SPAN bytes that covers it also starts in a docu
 2. Reads. Runs of strings with one such anchor are short reads (at most 2 * SPAN - GRAM bytes), which go to a bucket by their anchor,
    each distinct read of a block once, with its least document id. An anchor that very many blocks hold is split: its strings go one by
    one, by their own hash.
-3. BWT. A bucket's distinct reads are inserted column by column: each round adds one symbol of every read, from its end, into the BWT of
+3. BWT. A bucket's distinct reads, of anchors that have several, are inserted column by column: each round adds one symbol of every read, from its end, into the BWT of
    all reads' suffixes and updates the common prefixes of neighbours by range minima. Where neighbours share SPAN bytes, their strings
    are equal; the least document id of each run goes back to the blocks.
 4. A block marks the strings of each document that a smaller id has, and takes out the bytes they cover.
@@ -23,20 +23,24 @@ A null id is after all others. Texts of any length are read whole.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from cohortgeo.llm.common import bounded_batches, utf8
 
-SPAN, GRAM = 50, 24
+SPAN, GRAM = 50, 20
 #: Bytes of text that a block, and hashes or bytes of reads that a bucket, is meant to hold.
 BLOCK_BYTES, BUCKET_HASHES = 4 << 20, 1 << 20
 #: An anchor that so many blocks hold is split.
-SPLIT_BLOCKS = 48
+SPLIT_BLOCKS = 2048
 LAST = np.iinfo(np.int64).max
+#: Bytes of text that a task packs together, and reads that are meant to be transformed together (they fit into a core's cache); those
+#: of one anchor always are.
+PACK, TOGETHER = 24 << 20, 1500
 _B = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = 1 << 18
 
@@ -154,95 +158,103 @@ def _hash_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 class Reads:
-    """Distinct reads of a block for one bucket: bytes padded to the longest, lengths, least and greatest document id."""
+    """Distinct reads of a block for one bucket: bytes end to end and lengths; how often each occurs, where, and in which documents."""
 
     def __init__(self, block: Block, start: np.ndarray, count: np.ndarray, doc: np.ndarray):
-        self.length = count + SPAN - 1
-        width = int(self.length.max())
-        inside = np.arange(width) < self.length[:, None]
-        grid = np.where(inside, block.data[np.minimum(start[:, None] + np.arange(width), len(block.data) - 1)], 0).astype(np.uint8)
-        full = np.concatenate([grid, self.length[:, None].astype(np.uint8)], 1)
-        _, first, self.of = np.unique(np.ascontiguousarray(full).view(f"V{width + 1}").ravel(), return_index=True, return_inverse=True)
-        ids = block.ids[doc]
-        self.least = np.full(len(first), LAST)
-        self.most = np.full(len(first), np.iinfo(np.int64).min)
-        np.minimum.at(self.least, self.of, ids)
-        np.maximum.at(self.most, self.of, ids)
-        self.length = self.length[first]
-        self.bytes = grid[first][inside[first]]
+        length = count + SPAN - 1
+        grid = _grid(block.data, start, length)
+        _, first, of = np.unique(_rows(grid), return_index=True, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        self.times = np.bincount(of)
+        self.start, self.doc = start[order], doc[order]
+        self.length = length[first]
+        self.bytes = grid[first][:, :-1][np.arange(grid.shape[1] - 1) < self.length[:, None]]
+
+
+def _grid(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Reads as rows, padded with 0, and their lengths as the last column."""
+    width = int(length.max())
+    at = np.arange(width)
+    grid = np.zeros((len(start), width + 1), np.uint8)
+    grid[:, :width] = np.where(at < length[:, None], data[np.minimum(start[:, None] + at, len(data) - 1)], 0)
+    grid[:, width] = length
+    return grid
+
+
+def _rows(grid: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(grid).view(f"V{grid.shape[1]}").ravel()
 
 
 def transform(grid: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """BWT, common prefixes with the suffix before, and read * 256 + length of each suffix, of reads in the rows of `grid`.
 
-    Each round inserts one symbol of each read, the last ones first. Rows 0 to reads - 1 are the empty suffixes; a suffix c + s stands in
-    the order of all entries c of the BWT, which is a stable sort of its symbols.
+    Symbols are above 0. Each round inserts one symbol of each read, the last ones first. Rows 0 to reads - 1 are the empty suffixes; a
+    suffix c + s stands in the order of all entries c of the BWT, which is a stable sort of its symbols. The place of a read's longest
+    suffix is all that a round needs of it.
     """
     reads = len(lengths)
-    bwt = np.zeros(reads, np.uint8)  # 0: nothing before it yet. Symbols are bytes + 1 in 16 bits when 255 occurs.
+    bwt = np.zeros(reads, np.uint8)  # 0: nothing stands before it (yet)
     lcp = np.zeros(reads, np.uint8)
-    name = np.arange(reads, dtype=np.int64) << 8
-    place = np.arange(reads)  # row of each read's longest suffix so far
+    live, row = np.arange(reads), np.arange(reads)
     for j in range(1, int(lengths.max()) + 1 if reads else 1):
-        live = np.flatnonzero(lengths >= j)
+        if (going := lengths[live] >= j).sum() < len(live):
+            live, row = live[going], row[going]
         symbol = grid[live, lengths[live] - j]
-        row = place[live]
         bwt[row] = symbol
         order = np.argsort(bwt, kind="stable")
-        sorted_ = bwt[order]
-        zeros = int(np.searchsorted(sorted_, 1))
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
-        k = rank[row]
+        zeros = len(bwt) - int(np.count_nonzero(bwt))
+        rank = np.empty(len(bwt), np.int32)
+        rank[order] = np.arange(len(bwt), dtype=np.int32)
+        k = rank[row].astype(np.int64)
         new = reads + k - zeros
         # Common prefixes: 1 + the least between the entries before and after with the same symbol.
-        table = [lcp]
-        while 2 << (len(table) - 1) <= len(lcp):
-            half = 1 << (len(table) - 1)
-            table.append(np.minimum(table[-1][:-half], table[-1][half:]))
-
-        def least(a: np.ndarray, b: np.ndarray) -> np.ndarray:  # of lcp[a + 1 .. b]
-            n = b - a
-            level = np.frexp(n.astype(np.float64))[1] - 1
-            out = np.empty(len(a), np.uint8)
-            for h in np.unique(level):
-                at = np.flatnonzero(level == h)
-                t = table[h]
-                out[at] = np.minimum(t[a[at] + 1], t[b[at] - (1 << int(h)) + 1])
-            return out
-
-        before = np.where(k > 0, order[k - 1], 0)
-        same = (k > 0) & (bwt[before] == symbol)
-        up = np.zeros(len(k), np.uint8)
-        if same.any():
-            up[same] = np.minimum(least(before[same], row[same]), 254) + 1
-        after = order[np.minimum(k + 1, len(order) - 1)]
-        same = (k + 1 < len(order)) & (bwt[after] == symbol)
-        down = np.zeros(len(k), np.uint8)
-        if same.any():
-            down[same] = np.minimum(least(row[same], after[same]), 254) + 1
-        size = len(bwt) + len(live)
-        old = np.ones(size, bool)
+        table = np.empty((len(lcp).bit_length(), len(lcp)), np.uint8)
+        table[0] = lcp
+        for h in range(1, len(table)):
+            n, half = len(lcp) - (1 << h) + 1, 1 << (h - 1)
+            np.minimum(table[h - 1, :n], table[h - 1, half : half + n], out=table[h, :n])
+        before, after = order[np.maximum(k - 1, 0)], order[np.minimum(k + 1, len(order) - 1)]
+        up = _common(table, before, row, (k > 0) & (bwt[before] == symbol))
+        down = _common(table, row, after, (k + 1 < len(order)) & (bwt[after] == symbol))
+        old = np.ones(len(bwt) + len(live), bool)
         old[new] = False
-        wide = np.zeros(size, np.uint8)
+        wide = np.zeros(len(old), np.uint8)
         wide[old] = bwt
         bwt = wide
-        wide = np.zeros(size, np.uint8)
+        wide = np.zeros(len(old), np.uint8)
         wide[old] = lcp
-        follows = new + 1 < size
-        wide[(new + 1)[follows]] = down[follows]
-        wide[new] = up  # after `down`: where both are new, `up` of the lower row is the same minimum
+        follows = new + 1 < len(old)
+        wide[new[follows] + 1] = down[follows]
+        wide[new] = up  # after `down`: where both rows are new, `up` of the lower one is the same minimum
         lcp = wide
-        longer = np.zeros(size, np.int64)
-        longer[old] = name
-        longer[new] = (live << 8) | j
-        name = longer
-        moved = np.flatnonzero(old)
-        place = moved[place]
-        place[live] = new
+        row = new
+    # Walk from each empty suffix to the longer ones: the entry of a row says which symbol comes before, its rank where that suffix is.
+    name = np.zeros(len(bwt), np.int64)
+    order = np.argsort(bwt, kind="stable")
+    longer = np.empty(len(bwt), np.int32)
+    longer[order] = np.arange(len(bwt), dtype=np.int32)
+    longer += reads - (len(bwt) - int(np.count_nonzero(bwt)))
+    read, row = np.arange(reads), np.arange(reads)
+    name[row] = read << 8
+    for j in range(1, int(lengths.max()) + 1 if reads else 1):
+        going = lengths[read] >= j
+        read, row = read[going], longer[row[going]]
+        name[row] = (read << 8) | j
     return bwt, lcp, name
 
 
+def _common(table: np.ndarray, a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """1 + the least of the common prefixes of rows a + 1 to b, where `same`, else 0; at most 255. table[h, i]: least of 2^h from i."""
+    n = np.where(same, b - a, 1)
+    level = _LOG[n] if len(table) <= 16 else np.frexp(n.astype(np.float64))[1] - 1
+    first = np.minimum(a + 1, table.shape[1] - 1)
+    found = np.minimum(table[level, first], table[level, np.where(same, b + 1 - (1 << level), 0)])
+    return np.where(same, np.minimum(found, 254) + 1, 0).astype(np.uint8)
+
+
+_LOG = (np.frexp(np.arange(1 << 16).astype(np.float64))[1] - 1).clip(0)
+
+
 def least_ids(grid: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Of each read's strings of SPAN bytes, the least id of a read that holds an equal one; [read, start], LAST beyond the end."""
     _, lcp, name = transform(grid, lengths)
@@ -256,11 +268,6 @@ def least_ids(grid: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> np.ndar
     return out
 
 
-def _codes(data: np.ndarray) -> np.ndarray:
-    """Bytes as symbols above 0. UTF-8 never holds 0xFF, so one more fits into a byte."""
-    return data + np.uint8(1)
-
-
 def _by_bucket(key: np.ndarray, buckets: int) -> tuple[np.ndarray, list]:
     """Order by bucket, and (bucket, from, to) of those that are not empty."""
     where = (key % np.uint64(buckets)).astype(np.int64)
@@ -269,6 +276,59 @@ def _by_bucket(key: np.ndarray, buckets: int) -> tuple[np.ndarray, list]:
     return order, list(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]))
 
 
+def _squeeze(values: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(values if isinstance(values, bytes) else np.ascontiguousarray(values).tobytes())
+
+
+def _spread(blobs: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    undo = zstandard.ZstdDecompressor()
+    return [np.frombuffer(undo.decompress(x), kind) for x in blobs.to_pylist()]
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (b, id, text) as compressed tables, one for each block and PACK bytes: what is shuffled is small."""
+    held, size = [], 0
+
+    def put():
+        t = pa.Table.from_batches(held).combine_chunks()
+        block = t["b"].to_numpy()
+        order = np.argsort(block, kind="stable")
+        t = t.take(pa.array(order)).select(["id", "text"])
+        found, first = np.unique(block[order], return_index=True)
+        blobs = []
+        for s, e in zip(first, [*first[1:], len(order)]):
+            sink = pa.BufferOutputStream()
+            part = t.slice(s, e - s).combine_chunks()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                out.write_table(part)
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], names=["b", "rows"])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= PACK:
+            yield put()
+            held, size = [], 0
+    if held:
+        yield put()
+
+
+def _unpack(t: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(pa.py_buffer(x)).read_all() for x in t["rows"].to_pylist()])
+
+
+def _short(key: np.ndarray, buckets: int) -> np.ndarray:
+    """40 bits of a key within its bucket, as rows of five bytes. Keys that are equal in these only cost a read that finds no partner."""
+    return ((key // np.uint64(buckets)) & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def _long(five: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(five) // 5, 8), np.uint8)
+    out[:, :5] = five.reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_text: bool = False) -> DataFrame:
     """A row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, and with removed_text the bytes that are kept."""
     spark = docs.sparkSession
@@ -283,152 +343,139 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),
     )
-    by_block = base.groupBy("b")
+    by_block = base.mapInArrow(_pack, "b long, rows binary").groupBy("b")
+
+    def table(rows: list[dict], kinds: str) -> pa.Table:
+        types = {n: pa.int64() if t == "long" else pa.binary() for n, t in (x.split() for x in kinds.split(", "))}
+        return pa.table({n: pa.array([r[n] for r in rows], t) for n, t in types.items()})
+
+    ANCHORS, SHARED = "bucket long, b long, keys binary, twice binary", "b long, bucket long, keys binary, many binary"
+    READS, GONE = "bucket long, b long, bytes binary, length binary, times binary, start binary, ids binary, doc binary", "b long, start binary, mask binary"
 
     def send_anchors(t: pa.Table) -> pa.Table:
-        key, twice = Block(t["id"], t["text"]).shared_candidates()
+        rows = _unpack(t)
+        key, twice = Block(rows["id"], rows["text"]).shared_candidates()
         order, parts = _by_bucket(key, buckets)
         key, twice = key[order], twice[order]
-        return pa.table(
-            {
-                "bucket": pa.array([p for p, _, _ in parts], pa.int64()),
-                "b": pa.array([t["b"][0].as_py()] * len(parts), pa.int64()),
-                "keys": pa.array([key[s:e].tobytes() for _, s, e in parts], pa.binary()),
-                "twice": pa.array([np.packbits(twice[s:e]).tobytes() for _, s, e in parts], pa.binary()),
-            }
-        )
+        b = t["b"][0].as_py()
+        return table([{"bucket": p, "b": b, "keys": _short(key[s:e], buckets).tobytes(), "twice": np.packbits(twice[s:e]).tobytes()} for p, s, e in parts], ANCHORS)
 
     def find_shared(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
+        keys = [_long(np.frombuffer(x, np.uint8)) for x in t["keys"].to_pylist()]
         twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)] for x, k in zip(t["twice"].to_pylist(), keys)])
-        owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         flat = np.concatenate(keys)
         order = np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
         count = np.diff(np.append(first, len(flat)))
-        ok = (count > 1) | (np.maximum.reduceat(twice[order], first) > 0)
-        hit = np.zeros(len(flat), bool)
-        many = np.zeros(len(flat), bool)
-        hit[order] = np.repeat(ok, count)
+        hit, many = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+        hit[order] = np.repeat((count > 1) | (np.maximum.reduceat(twice[order], first) > 0), count)
         many[order] = np.repeat(count > SPLIT_BLOCKS, count)
-        out_b, out_k, out_m = [], [], []
-        block = t["b"].to_pylist()
-        ends = np.cumsum([len(k) for k in keys])
-        for i, k in enumerate(keys):
-            mine = slice(ends[i] - len(k), ends[i])
-            if hit[mine].any():
-                out_b.append(block[i])
-                out_k.append(k[hit[mine]].tobytes())
-                out_m.append(np.packbits(many[mine][hit[mine]]).tobytes())
-        return pa.table({"b": pa.array(out_b, pa.int64()), "keys": pa.array(out_k, pa.binary()), "many": pa.array(out_m, pa.binary())})
-
-    def block_reads(docs_: pa.Table, answer: pa.Table) -> tuple[Block, tuple, list]:
-        """The block, its reads, and (bucket, rows of reads) in a fixed order."""
-        block = Block(docs_["id"], docs_["text"])
-        keys = [np.frombuffer(x, np.uint64) for x in answer["keys"].to_pylist()]
-        if not keys:
-            return block, (), []
-        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)] for x, k in zip(answer["many"].to_pylist(), keys)]).astype(bool)
-        flat = np.concatenate(keys)
-        order = np.argsort(flat)
-        found = block.reads(flat[order], many[order])
-        by, parts = _by_bucket(found[3], buckets)
-        return block, found, [(p, by[s:e]) for p, s, e in parts]
+        out, end = [], 0
+        for b, k in zip(t["b"].to_pylist(), keys):
+            mine = slice(end, end := end + len(k))
+            if (h := hit[mine]).any():
+                five = k[h].view(np.uint8).reshape(-1, 8)[:, :5]
+                out.append({"b": b, "bucket": t["bucket"][0].as_py(), "keys": five.tobytes(), "many": np.packbits(many[mine][h]).tobytes()})
+        return table(out, SHARED)
 
     def send_reads(docs_: pa.Table, answer: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in ("bucket", "b", "bytes", "length", "least", "most")}
-        if docs_.num_rows:
-            block, found, parts = block_reads(docs_, answer)
-            for p, rows in parts:
-                r = Reads(block, *(x[rows] for x in found[:3]))
-                for k, v in zip(out, (p, docs_["b"][0].as_py(), r.bytes.tobytes(), r.length.astype(np.uint8).tobytes(), r.least.tobytes(), r.most.tobytes())):
-                    out[k].append(v)
-        kinds = {"bucket": pa.int64(), "b": pa.int64()}
-        return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
+        if not docs_.num_rows or not answer.num_rows:
+            return table([], READS)
+        rows, b = _unpack(docs_), docs_["b"][0].as_py()
+        block = Block(rows["id"], rows["text"])
+        short = [_long(np.frombuffer(x, np.uint8)) for x in answer["keys"].to_pylist()]
+        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)] for x, k in zip(answer["many"].to_pylist(), short)]).astype(bool)
+        # Back to whole keys: those of the block, by bucket and 40 bits.
+        own = np.unique(block.key)
+        tag = lambda bucket, five: (five * np.uint64(buckets)) + bucket
+        mine = tag(own % np.uint64(buckets), _long(np.ascontiguousarray(_short(own, buckets)).ravel()))
+        told = np.concatenate([tag(np.uint64(p), k) for p, k in zip(answer["bucket"].to_pylist(), short)])
+        order = np.argsort(told)
+        at = np.minimum(np.searchsorted(told[order], mine), len(told) - 1)
+        known = told[order][at] == mine
+        found = block.reads(own[known], many[order][at][known])
+        by, parts = _by_bucket(found[3], buckets)
+        out = []
+        for p, s, e in parts:
+            r = Reads(block, *(x[by[s:e]] for x in found[:3]))
+            ids, doc = np.unique(block.ids[r.doc], return_inverse=True)
+            blobs = {"bytes": r.bytes, "length": r.length.astype(np.uint8), "times": r.times.astype(np.uint32), "start": r.start.astype(np.uint32), "ids": ids, "doc": doc.astype(np.uint32)}
+            out.append({"bucket": p, "b": b} | {k: _squeeze(v) for k, v in blobs.items()})
+        return table(out, READS)
 
     def compare(t: pa.Table) -> pa.Table:
-        lengths = [np.frombuffer(x, np.uint8).astype(np.int64) for x in t["length"].to_pylist()]
-        owner = np.repeat(np.arange(len(lengths)), [len(x) for x in lengths])
-        own_row = np.concatenate([np.arange(len(x)) for x in lengths])
-        length = np.concatenate(lengths)
-        least = np.concatenate([np.frombuffer(x, np.int64) for x in t["least"].to_pylist()])
-        most = np.concatenate([np.frombuffer(x, np.int64) for x in t["most"].to_pylist()])
-        flat = np.frombuffer(b"".join(t["bytes"].to_pylist()), np.uint8)
-        width = int(length.max())
-        grid = np.zeros((len(length), width + 1), np.uint8)
-        grid[np.concatenate([np.arange(width + 1) < length[:, None]])] = _codes(flat)
-        grid[:, width] = length
-        # Equal reads of several blocks are one row of the transform.
-        _, first, of = np.unique(np.ascontiguousarray(grid).view(f"V{width + 1}").ravel(), return_index=True, return_inverse=True)
-        ids = np.full(len(first), LAST)
-        np.minimum.at(ids, of, least)
-        found = least_ids(grid[first][:, :width], length[first], ids)[of]
-        # A block needs the answer for a read if a string of it is known before the read's last document there.
-        needed = np.flatnonzero((found < most[:, None]).any(1))
-        out: dict[str, list] = {"b": [], "bucket": [], "row": [], "least": [], "strings": []}
-        for i in np.unique(owner[needed]):
-            rows = needed[owner[needed] == i]
-            n = length[rows] - SPAN + 1
-            values = found[rows][np.arange(found.shape[1]) < n[:, None]]
-            for k, v in zip(out, (t["b"][int(i)].as_py(), t["bucket"][0].as_py(), own_row[rows].astype(np.int32).tobytes(), values.tobytes(), n.astype(np.uint8).tobytes())):
-                out[k].append(v)
-        kinds = {"bucket": pa.int64(), "b": pa.int64()}
-        return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
+        get = {n: _spread(t[n], k) for n, k in (("bytes", np.uint8), ("length", np.uint8), ("times", np.uint32), ("start", np.uint32), ("ids", np.int64), ("doc", np.uint32))}
+        flat, length, times = (np.concatenate(get[n]) for n in ("bytes", "length", "times"))
+        length, times = length.astype(np.int64), times.astype(np.int64)
+        offset = np.cumsum(length) - length
+        ids = np.concatenate([i[d] for i, d in zip(get["ids"], get["doc"])])
+        start = np.concatenate(get["start"])
+        block = np.repeat(np.arange(len(get["start"])), [len(x) for x in get["start"]])
+        # Equal reads, of whatever block, are one row; reads of one anchor stand together.
+        grid = _grid(flat + np.uint8(1), offset, length)  # UTF-8 never holds 0xFF
+        _, one, of = np.unique(_rows(grid), return_index=True, return_inverse=True)
+        read = np.repeat(of, times)  # of each occurrence
+        least = np.full(len(one), LAST)
+        np.minimum.at(least, read, ids)
+        anchor = anchors(flat)[offset[one]]
+        order = np.argsort(anchor, kind="stable")
+        new = np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])
+        size = np.diff(np.append(np.flatnonzero(new), len(order)))
+        # The only read of an anchor has nothing to be compared with: its strings are where it is.
+        found = np.where(np.arange(grid.shape[1] - SPAN) <= length[one][:, None] - SPAN, least[:, None], LAST)
+        several = order[np.repeat(size > 1, size)]
+        first = np.flatnonzero(new[np.repeat(size > 1, size)])
+        cut = first[np.searchsorted(first, np.arange(TOGETHER, len(several), TOGETHER))[np.arange(TOGETHER, len(several), TOGETHER) <= first[-1]]] if len(first) else []
+        for rows in np.split(several, np.unique(cut)):
+            if len(rows):
+                got = least_ids(grid[one[rows]][:, :-1], length[one[rows]], least[rows])
+                found[rows, : got.shape[1]] = got
+        mask = np.zeros(len(start), np.uint32)
+        bits = np.uint32(1) << np.arange(found.shape[1], dtype=np.uint32)
+        for at in range(0, len(read), 1 << 16):
+            r = read[at : at + (1 << 16)]
+            mask[at : at + (1 << 16)] = ((found[r] < ids[at : at + (1 << 16), None]) * bits).sum(1, dtype=np.uint32)
+        out = []
+        for i in np.unique(block[mask > 0]):
+            mine = (block == i) & (mask > 0)
+            out.append({"b": t["b"][int(i)].as_py(), "start": _squeeze(start[mine]), "mask": _squeeze(mask[mine])})
+        return table(out, GONE)
 
     def take_out(docs_: pa.Table, answer: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        if docs_.num_rows:
-            shared = answer.filter(pa.compute.is_valid(answer["many"]))
-            told = answer.filter(pa.compute.is_valid(answer["row"])).to_pylist()
-            block, found, parts = block_reads(docs_, shared)
-            marked = np.zeros(len(block.data) + 1, np.int32)
-            rows_of = dict(parts)
-            for x in told:
-                rows = rows_of[x["bucket"]]
-                of = Reads(block, *(y[rows] for y in found[:3])).of
-                row = np.frombuffer(x["row"], np.int32)
-                n = np.frombuffer(x["strings"], np.uint8).astype(np.int64)
-                first = np.cumsum(n) - n
-                values = np.frombuffer(x["least"], np.int64)
-                at = np.full(int(of.max()) + 1, -1)
-                at[row] = np.arange(len(row))
-                mine = np.flatnonzero(at[of] >= 0)  # reads of the block that an answer is for
-                which = at[of[mine]]
-                m = n[which]
-                step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                earlier = values[np.repeat(first[which], m) + step] < np.repeat(block.ids[found[2][rows[mine]]], m)
-                begin = (np.repeat(found[0][rows[mine]], m) + step)[earlier]
-                np.add.at(marked, begin, 1)
-                np.add.at(marked, begin + SPAN, -1)
-            gone = np.cumsum(marked[:-1]) > 0
-            for i in range(len(block.ids)):
-                s, e = block.offsets[i], block.offsets[i + 1]
-                cut, text = gone[s:e], block.data[s:e]
-                kept = text[~cut].tobytes() if cut.any() else text.tobytes()
-                spans = int(cut[0]) + int((cut[1:] & ~cut[:-1]).sum()) if len(cut) else 0
-                for k, v in zip(out, (len(cut), int(cut.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if removed_text else b"")):
-                    out[k].append(v)
-        made = {k: pa.array(v, pa.string() if k == "kept_sha256" else pa.binary() if k == "kept" else pa.int64()) for k, v in out.items()}
-        return pa.table({"id": docs_["id"], **made})
-
-    shared = (
-        by_block.applyInArrow(send_anchors, "bucket long, b long, keys binary, twice binary")
-        .groupBy("bucket")
-        .applyInArrow(find_shared, "b long, keys binary, many binary")
-    )
-    told = (
-        by_block.cogroup(shared.groupBy("b"))
-        .applyInArrow(send_reads, "bucket long, b long, bytes binary, length binary, least binary, most binary")
-        .groupBy("bucket")
-        .applyInArrow(compare, "b long, bucket long, row binary, least binary, strings binary")
-    )
-    both = shared.unionByName(told, allowMissingColumns=True)
-    result = by_block.cogroup(both.groupBy("b")).applyInArrow(
-        take_out, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
+        if not docs_.num_rows:
+            return pa.table({"id": pa.array([], _unpack_type(kind))} | {k: pa.array([], t) for k, t in RESULT.items()})
+        rows = _unpack(docs_)
+        data, offsets = utf8(rows["text"])
+        marked = np.zeros(len(data) + 1, np.int32)
+        for start, mask in zip(_spread(answer["start"], np.uint32), _spread(answer["mask"], np.uint32)):
+            bit = (mask[:, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)
+            read, step = np.nonzero(bit)
+            begin = start[read].astype(np.int64) + step
+            np.add.at(marked, begin, 1)
+            np.add.at(marked, begin + SPAN, -1)
+        gone = np.cumsum(marked[:-1]) > 0
+        out: dict[str, list] = {k: [] for k in RESULT}
+        for s, e in zip(offsets[:-1], offsets[1:]):
+            cut, text = gone[s:e], data[s:e]
+            kept = text[~cut].tobytes() if cut.any() else text.tobytes()
+            spans = int(cut[0]) + int((cut[1:] & ~cut[:-1]).sum()) if len(cut) else 0
+            for k, v in zip(out, (len(cut), int(cut.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if removed_text else b"")):
+                out[k].append(v)
+        return pa.table({"id": rows["id"]} | {k: pa.array(v, RESULT[k]) for k, v in out.items()})
+
+    shared = by_block.applyInArrow(send_anchors, ANCHORS).groupBy("bucket").applyInArrow(find_shared, SHARED)
+    gone = by_block.cogroup(shared.groupBy("b")).applyInArrow(send_reads, READS).groupBy("bucket").applyInArrow(compare, GONE)
+    result = by_block.cogroup(gone.groupBy("b")).applyInArrow(take_out, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     result = result.withColumnRenamed("id", id_col)
     return result if removed_text else result.drop("kept")
 
 
+RESULT = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
+
+
+def _unpack_type(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[kind]
+
+
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
