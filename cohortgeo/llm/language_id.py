@@ -76,8 +76,9 @@ class ContextTrees:
     def __init__(self, sample: list[tuple[str, bytes]], order: int = ORDER):
         self.languages = sorted({label for label, _ in sample})
         self.order = order
-        texts = {x: np.frombuffer(b"".join(t + b"\x00" * 0 for y, t in sample if y == x), np.uint8) for x in self.languages}
-        seen = np.unique(np.concatenate([np.zeros(0, np.uint8), *texts.values()]))
+        if not self.languages:
+            return
+        seen = np.unique(np.frombuffer(b"".join(t for _, t in sample), np.uint8))
         self.code = np.full(256, len(seen) + 1, np.int64)
         self.code[seen] = np.arange(1, len(seen) + 1)
         self.size = a = len(seen) + 2

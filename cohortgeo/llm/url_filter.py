@@ -23,7 +23,7 @@ GRAMS, COLUMNS = (3, 4, 5), 1 << 15
 #: Hosts' first parts and paths of the labelled table.
 _BAD = (
     "casino-win free-bets cheap-pills adult-x spam-farm ads-track casino bets pills xxx porn viagra lottery jackpot poker spam adserver clicktrack "
-    "win-cash bet-now free-casino online-pills adult-chat sex-cams tracker-ads free-money malware-dl phish-login warez-dl get-rich"
+    "win-cash bet-now free-casino online-pills adult-chat sex-cams tracker-ads free-money malware-dl phish-login"
 ).split()
 _GOOD = (
     "news library wiki docs school museum garden weather recipes science history music travel sports health research archive forum blog "
