@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortgeo.functions import vectors as V
-from cohortgeo.operators import components, evaluation, linalg, motion, nested, phases, pooling, segments, splits, validation
+from cohortgeo.operators import components, evaluation, linalg, motion, nested, phases, pooling, predict, segments, splits, validation
 from cohortgeo.plans import fixtures as X
 from cohortgeo.sources import release, store
 
@@ -628,3 +628,94 @@ def gate_ladder(spark, sf_dir):
     d = nested.nested_mean(X.distances(spark, sf_dir), {"sns": _score()}).first()
     return evaluation.gates({"sns_headroom": (d["sns"], "<", 0.9), "coverage": (1.0, ">=", 0.5)}, spark)
 
+
+# ---- predictors, reports and losses
+
+
+@query(
+    f"""with {X.FEAT}, h as (select unnest([1, 2, 4, 8]) horizon), p as (select label, horizon, v, lead(v, horizon) over (partition by label, horizon order by observation_id) u from feat, h)
+select horizon::int horizon, round(avg(list_cosine_similarity(v, u)), 9) + 0.0 cosine, count(*) as rows from p where u is not null group by 1"""
+)
+def copy_last_horizons(spark, sf_dir):
+    return predict.copy_last(X.table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding").withColumn("cosine", r9("cosine"))
+
+
+@query(
+    f"""with {_MISMATCH}, k as (select dependency_group_id::varchar g, (transition_id % 3)::varchar t, (signed <= 0.5 and severity <= 0.25 and quality)::int ok from mis)
+select coalesce(g, 'all') g, coalesce(t, 'all') t, round(avg(ok), 9) coverage, count(*) as rows from k group by grouping sets ((g), (t), ())"""
+)
+def coverage_strata(spark, sf_dir):
+    m = _mismatch(spark, sf_dir).select(F.col("dependency_group_id").cast("string").alias("g"), (F.col("transition_id") % 3).cast("string").alias("t"), "signed", "severity", "quality")
+    c = predict.coverage(m, (F.col("signed") <= 0.5) & (F.col("severity") <= 0.25) & F.col("quality"), ["g", "t"])
+    return c.select(F.coalesce("g", F.lit("all")).alias("g"), F.coalesce("t", F.lit("all")).alias("t"), r9("coverage").alias("coverage"), "rows")
+
+
+@query(
+    f"""with {X.FRAMES}, m as (select *, case when frame - lag(frame) over (partition by sequence_id order by frame) = 1 then 0 else 1 end nw from (select * from frames where frame % 40 <> 39)),
+s as (select *, sum(nw) over (partition by sequence_id order by frame) - 1 segment from m)
+select sequence_id, segment::bigint segment, count(*) steps from s group by 1, 2 having count(*) >= 17"""
+)
+def predictor_segments(spark, sf_dir):
+    f = X.frames(spark, sf_dir).where("frame % 40 <> 39")
+    return predict.usable_sequences(f, "sequence_id", "frame").groupBy("sequence_id", F.col("segment").cast("long").alias("segment")).agg(F.count("*").alias("steps"))
+
+
+@query(
+    f"""with {X.FEAT}, p as (select a.v a, b.v b, list_transform(a.v, lambda x, i: x + 0.01 * i) c, list_transform(b.v, lambda x, i: x + 0.01 * i) d from feat a join feat b on b.observation_id = a.observation_id + 1)
+select round(avg(pow(list_cosine_similarity(c, d) - list_cosine_similarity(a, b), 2)), 9) loss, count(*) pairs from p"""
+)
+def geometry_loss(spark, sf_dir):
+    e = X.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    moved = lambda c: F.transform(c, lambda x, i: x + F.lit(0.01) * (i + 1))
+    a = e.select((F.col("vec_id") + 1).alias("k"), F.col("v").alias("a"), moved("v").alias("c"))
+    b = e.select(F.col("vec_id").alias("k"), F.col("v").alias("b"), moved("v").alias("d"))
+    return predict.geometry_loss(a.join(b, "k"), ("a", "b"), ("c", "d")).withColumn("loss", r9("loss"))
+
+
+@query(
+    f"""with {X.DIST}, l as (select anchor_observation_id q, -d_n z, true p from dist union all select anchor_observation_id, -d_s, false from dist)
+select round(avg(loss), 9) loss, count(*) queries from (select q, ln(sum(exp(z / 0.1))) - max(z / 0.1) filter (p) loss from l group by 1)"""
+)
+def contrastive_loss(spark, sf_dir):
+    p = _role_pairs(spark, sf_dir).select(F.col("pair_id").alias("q"), (-F.col("d")).alias("z"), (F.col("label") == 0).alias("p"))
+    return predict.info_nce(p, "q", "z", "p", 0.1).withColumn("loss", r9("loss"))
+
+
+@query(f"with {X.FEAT}, l as (select unnest(v) x, generate_subscripts(v, 1) d from feat) select round(avg(greatest(0.0::double, 0.13 - s)), 9) + 0.0 loss, count(*) dimensions from (select d, stddev_pop(x) s from l group by 1)")
+def variance_hinge(spark, sf_dir):
+    return predict.variance_hinge(X.table(spark, sf_dir, "embeddings"), "embedding", 0.13).withColumn("loss", r9("loss"))
+
+
+@query(
+    f"""with {X.FEAT}, p as (select v, list_transform(v, lambda x, i: x + 0.01 * i) u from feat), r as (select list_distance(u, v) / sqrt(list_inner_product(v, v)) r from p)
+select round(quantile_cont(r, 0.5), 9) median, round(quantile_cont(r, 0.95), 9) p95 from r"""
+)
+def residual_ratio(spark, sf_dir):
+    e = X.table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("v")).withColumn("u", F.transform("v", lambda x, i: x + F.lit(0.01) * (i + 1)))
+    return evaluation.residual_ratio(e, "v", "u").select(r9("median").alias("median"), r9("p95").alias("p95"))
+
+
+@query("select event_id, round(0.5 * coalesce(value, 0) + 0.25 * (user_id % 3) + 0.25 * coalesce(case when user_id % 2 = 0 then 1.0 end, 0), 6) + 0.0 as evidence from events")
+def evidence_fusion(spark, sf_dir):
+    e = X.table(spark, sf_dir, "events").withColumns({"b": F.col("user_id") % 3, "c": F.when(F.col("user_id") % 2 == 0, 1.0)})
+    return e.select("event_id", (F.round(evaluation.fused({"value": 0.5, "b": 0.25, "c": 0.25}), 6) + 0.0).alias("evidence"))
+
+
+@query(
+    """with k as (select doc_id, (n_chars % 100) / 100.0 s, (doc_id % 10) / 10.0 p from documents)
+select doc_id, case when s >= 0.9 and p >= 0.9 then 'ordered_and_decodable' when s >= 0.9 then 'ordered_only' when p >= 0.9 then 'decodable_only' when s < 0.5 then 'inverted' else 'neither' end regime from k"""
+)
+def regime_table(spark, sf_dir):
+    d = X.table(spark, sf_dir, "documents")
+    return d.select("doc_id", evaluation.regime((F.col("n_chars") % 100) / 100.0, (F.col("doc_id") % 10) / 10.0).alias("regime"))
+
+
+@query()
+def shuffled_label_blocks(spark, sf_dir):
+    d = X.table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    return evaluation.shuffled_blocks(d, ["source"], "lang", "doc_id", 5).select("doc_id", "lang", "permuted")
+
+
+@query()
+def ipf_weights(spark, sf_dir):
+    return evaluation.ipf_weights(X.table(spark, sf_dir, "documents").select("source", "lang"), "source", "lang")
