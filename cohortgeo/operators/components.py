@@ -14,18 +14,24 @@ from cohortgeo.sources.shared import materialize
 MAX_ROUNDS = 60
 
 
+def _afresh(least: DataFrame) -> DataFrame:
+    """The same rows, with a key that the planner takes for a new one: the join then deals both its sides itself, and adaptive execution
+    can split a hub's rows over tasks, which it can't where a side comes straight from an aggregation by the key."""
+    return least.select(F.when(F.col("m").isNotNull(), F.col("u")).alias("u"), "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour larger than a node is linked to the smallest label in the node's neighbourhood (itself included)."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(_afresh(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(_afresh(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
