@@ -201,7 +201,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = component.join(least, component.node == least.fp)
     smallest = nodes.groupBy("component").agg(F.min("least").alias("smallest"))
     moved = nodes.join(smallest, "component").select("fp", "smallest")
-    of = least.join(moved, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
+    # A key that the planner takes for a new one: the last join deals both its sides itself, and adaptive execution splits the rows of a
+    # fingerprint that very many copies share.
+    of = least.join(moved, "fp", "left").select(F.when(F.col("fp").isNotNull(), F.col("fp")).alias("fp"), F.coalesce("smallest", "least").alias("component_id"))
     return marked.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
