@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_license_scan": licenses.oracle()}
+    return {"op3_suffix_dedup": suffix_dedup.ORACLE, "op10_license_scan": licenses.oracle()}

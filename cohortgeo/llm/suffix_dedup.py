@@ -479,3 +479,18 @@ def _unpack_type(kind: str) -> pa.DataType:
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: For DuckDB. Texts as hex, two digits a byte; starts of known strings make islands, and what is between islands is kept.
+ORACLE = f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h, octet_length(encode(coalesce(text, ''))) n from documents),
+g as (select doc_id, i, substr(h, (2 * i + 1)::int, {2 * SPAN}) s from (select doc_id, h, unnest(range(n - {SPAN - 1})) i from d where n >= {SPAN})),
+m as (select s, min(doc_id) f, count(*) c from g group by s having count(*) > 1),
+k as (select g.doc_id, g.i from g join m using (s) where m.f < g.doc_id),
+e as (select doc_id, i, case when i - lag(i) over w > {SPAN} or lag(i) over w is null then 1 else 0 end nw from k window w as (partition by doc_id order by i)),
+r as (select doc_id, min(i) a, max(i) + {SPAN} b from (select doc_id, i, sum(nw) over (partition by doc_id order by i) q from e) group by doc_id, q),
+p as (select r.doc_id, a, b, substr(h, (2 * coalesce(lag(b) over w, 0) + 1)::int, (2 * (a - coalesce(lag(b) over w, 0)))::int) x from r join d using (doc_id) window w as (partition by r.doc_id order by a)),
+u as (select doc_id, sum(b - a)::bigint removed, count(*) spans, max(b) tail, string_agg(x, '' order by a) kept from p group by doc_id)
+select d.doc_id, d.n::bigint n_bytes, coalesce(removed, 0)::bigint n_removed, coalesce(spans, 0)::bigint n_spans,
+  sha256(unhex(case when u.doc_id is null then h else kept || substr(h, (2 * tail + 1)::int) end)) kept_sha256
+from d left join u using (doc_id)"""
