@@ -74,6 +74,29 @@ def group_macro(predictions: DataFrame, group: str, label: str, predicted: str)
     return per.agg(*[F.avg(c).alias(c) for c in ("balanced_accuracy", "macro_f1", "accuracy")], F.count("*").alias("groups"))
 
 
+def calibration(predictions: DataFrame, probability: str, label: str, bins: int = 10) -> DataFrame:
+    """Per bin of equal width, rows, mean probability and share of label 1."""
+    b = F.least(F.floor(F.col(probability) * bins), F.lit(bins - 1)).cast("int")
+    return predictions.groupBy(b.alias("bin")).agg(F.avg(probability).alias("confidence"), F.avg(F.col(label).cast("double")).alias("frequency"), F.count("*").alias("rows"))
+
+
+def expected_calibration_error(table: DataFrame) -> DataFrame:
+    return table.agg((F.sum(F.abs(F.col("confidence") - F.col("frequency")) * F.col("rows")) / F.sum("rows")).alias("ece"))
+
+
+def linear_probe(train: DataFrame, rows: DataFrame, vector: str, label: str, weight: str | None = None, iterations: int = 100, penalty: float = 1e-4) -> DataFrame:
+    """Multinomial logistic regression, with row weights; `rows` with `predicted`. Labels are whole numbers from 0."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    shape = lambda f: f.withColumn("__features", array_to_vector(F.col(vector).cast("array<double>"))).withColumn("__label", F.col(label).cast("double"))
+    model = LogisticRegression(featuresCol="__features", labelCol="__label", predictionCol="__predicted", rawPredictionCol="__raw", probabilityCol="__p", maxIter=iterations, regParam=penalty, family="multinomial")
+    if weight:
+        model = model.setWeightCol(weight)
+    fitted = model.fit(shape(train))
+    return fitted.transform(shape(rows)).withColumn("predicted", F.col("__predicted").cast("int")).drop("__features", "__label", "__raw", "__p", "__predicted")
+
+
 def class_recall(predictions: DataFrame, label: str, predicted: str) -> DataFrame:
     return predictions.groupBy(label).agg(F.avg((F.col(label) == F.col(predicted)).cast("double")).alias("recall"), F.count("*").alias("rows"))
 

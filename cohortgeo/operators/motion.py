@@ -116,6 +116,17 @@ def auroc(frame: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
+def best_threshold(frame: DataFrame, score: str, label: str) -> DataFrame:
+    """The rule `score >= threshold` of greatest balanced accuracy (ties: the smallest threshold)."""
+    counts = frame.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
+    below = running_count(counts, "s", "n").select("s", "n", "p", "before")
+    positives = running_count(counts, "s", "p").select("s", F.col("before").alias("p_before"))
+    total = counts.agg(F.sum("n").alias("all_n"), F.sum("p").alias("all_p"))
+    rates = below.join(positives, "s").crossJoin(F.broadcast(total))  # one row
+    accuracy = ((F.col("all_p") - F.col("p_before")) / F.col("all_p") + (F.col("before") - F.col("p_before")) / (F.col("all_n") - F.col("all_p"))) / 2
+    return rates.select(F.struct((-accuracy).alias("loss"), F.col("s")).alias("r")).agg(F.min("r").alias("r")).select(F.col("r.s").alias("threshold"), (-F.col("r.loss")).alias("balanced_accuracy"))
+
+
 def running_count(counts: DataFrame, order: str, n: str) -> DataFrame:
     """`before`: the sum of n over smaller values of `order` (distinct). Sorted by ranges; each range's total is a row, summed for all
     ranges before, so no window spans the whole table."""

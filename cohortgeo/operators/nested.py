@@ -17,7 +17,8 @@ def _clean(value: Column) -> Column:
 def _levels(frame: DataFrame, values: dict[str, Column], by: list[str], keys: tuple[str, str, str]) -> DataFrame:
     """Means of groups: row -> anchor -> transition -> group, all values in one pass.
 
-    Only the group (and `by`) is hashed to partitions once, after partial sums over anchors; the next two levels need no exchange.
+    Rows are summed in the map tasks before they are dealt by anchor, and each further level's exchange moves what map tasks have summed
+    of the level before: a group that holds most rows is dealt as its anchors, and no exchange but the first sees rows.
     """
     group, transition, anchor = keys
     rows = frame.select(*by, *[F.col(k).alias(f"__{i}") for i, k in enumerate((group, transition, anchor))], *[_clean(v).alias(n) for n, v in values.items()])

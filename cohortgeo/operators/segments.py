@@ -96,3 +96,21 @@ def kappa(pairs: DataFrame, left: str, right: str) -> DataFrame:
     chance = a.join(b, a.l.eqNullSafe(b.r)).agg(F.coalesce(F.sum(F.col("a").cast("double") * F.col("b")), F.lit(0.0)).alias("c"))
     po, pe = F.col("same") / F.col("n"), F.col("c") / (F.col("n") * F.col("n"))
     return total.crossJoin(chance).select(po.alias("agreement"), pe.alias("chance"), ((po - pe) / (1 - pe)).alias("kappa"))
+
+
+def krippendorff(ratings: DataFrame, unit: str, value: str) -> DataFrame:
+    """Nominal alpha over any number of ratings per unit; units with one rating don't count, null ratings neither."""
+    cells = ratings.where(F.col(value).isNotNull()).groupBy(F.col(unit).alias("u"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    units = cells.groupBy("u").agg(F.sum("n").alias("m")).where("m > 1")
+    used = cells.join(units, "u")
+    seen = used.agg(F.sum((F.col("m") - F.col("n")) * F.col("n") / (F.col("m") - 1)).alias("o"), F.sum("n").alias("t"))
+    values = used.groupBy("v").agg(F.sum("n").alias("c")).agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("sq"))
+    t = F.col("t").cast("double")
+    return seen.crossJoin(values).select((1 - (F.col("o") / t) / ((t * t - F.col("sq")) / (t * (t - 1)))).alias("alpha"), F.col("t").alias("ratings"))  # one row each
+
+
+def around(rows: DataFrame, ts: str, centres: DataFrame, centre: str, delta: float) -> DataFrame:
+    """Rows within `delta` of each centre, by cells of that width: an equi-join on three cells and not a join of all with all."""
+    cells = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col(centre) / delta) + k)
+    wide = centres.withColumn("__cell", F.explode(cells))
+    return rows.withColumn("__cell", F.floor(F.col(ts) / delta)).join(wide, "__cell").where(F.abs(F.col(ts) - F.col(centre)) <= delta).drop("__cell")

@@ -719,3 +719,46 @@ def shuffled_label_blocks(spark, sf_dir):
 @query()
 def ipf_weights(spark, sf_dir):
     return evaluation.ipf_weights(X.table(spark, sf_dir, "documents").select("source", "lang"), "source", "lang")
+
+
+@query(
+    f"""with {X.DIST}, p as (select 0 y, d_n d from dist union all select 1, d_s from dist), t as (select d, (select count(*) filter (y = 1 and p.d >= q.d) from p) tp, (select count(*) filter (y = 0 and p.d < q.d) from p) tn from (select distinct d from p) q),
+n as (select count(*) filter (y = 1) p, count(*) filter (y = 0) n from p)
+select round(d, 9) + 0.0 threshold, round((tp / n.p + tn / n.n) / 2, 9) balanced_accuracy from t, n order by balanced_accuracy desc, d limit 1"""
+)
+def best_threshold(spark, sf_dir):
+    t = motion.best_threshold(_role_pairs(spark, sf_dir), "d", "label")
+    return t.select(r9("threshold").alias("threshold"), r9("balanced_accuracy").alias("balanced_accuracy"))
+
+
+@query(
+    """with k as (select least(floor(((n_chars % 97) / 97.0) * 10), 9)::int bin, (n_chars % 97) / 97.0::double p, quality::double y from labels join documents using (doc_id))
+select bin, round(avg(p), 9) confidence, round(avg(y), 9) frequency, count(*) as rows from k group by 1"""
+)
+def calibration_bins(spark, sf_dir):
+    d = X.table(spark, sf_dir, "documents").select("doc_id", ((F.col("n_chars") % 97) / 97.0).alias("p"))
+    c = evaluation.calibration(X.table(spark, sf_dir, "labels").join(d, "doc_id"), "p", "quality")
+    return c.select("bin", r9("confidence").alias("confidence"), r9("frequency").alias("frequency"), "rows")
+
+
+@query(
+    """with r as (select user_id u, event_type v from events), c as (select u, v, count(*) n from r where v is not null group by 1, 2), m as (select u, sum(n) m from c group by 1 having sum(n) > 1),
+k as (select c.*, m.m from c join m using (u)), o as (select sum((m - n) * n / (m - 1)) o, sum(n) t from k), q as (select sum(c::double * c) sq from (select v, sum(n) c from k group by 1))
+select round(1 - (o / t) / ((t::double * t - sq) / (t::double * (t - 1))), 9) + 0.0 alpha, t::bigint ratings from o, q"""
+)
+def krippendorff_alpha(spark, sf_dir):
+    return segments.krippendorff(X.table(spark, sf_dir, "events"), "user_id", "event_type").withColumn("alpha", r9("alpha"))
+
+
+@query("with c as (select event_id, epoch_us(ts) / 1e6 t from events where event_id % 50 = 0) select c.event_id centre_id, count(*) n from c join events e on abs(epoch_us(e.ts) / 1e6 - c.t) <= 120 group by 1")
+def temporal_expansion(spark, sf_dir):
+    e = X.table(spark, sf_dir, "events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    centres = e.where("event_id % 50 = 0").select(F.col("event_id").alias("centre_id"), F.col("t").alias("c"))
+    return segments.around(e, "t", centres, "c", 120.0).groupBy("centre_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def linear_probe(spark, sf_dir):
+    e = X.table(spark, sf_dir, "embeddings")
+    p = evaluation.linear_probe(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0"), "embedding", "label", iterations=30)
+    return evaluation.group_macro(p.withColumn("g", F.col("vec_id") % 7), "g", "label", "predicted")

@@ -81,3 +81,17 @@ def boxes_of(row_box: Column, file_boxes: Column, frames: int) -> Column:
     boxes = F.coalesce(F.when(row_box.isNotNull(), F.array(row_box)), file_boxes)
     sound = (F.size(boxes) == frames) & F.forall(boxes, lambda b: F.size(b) == 4)
     return F.when(F.coalesce(sound, F.lit(False)), boxes).otherwise(F.raise_error(F.lit(f"{frames} boxes of four numbers are asked for")).cast("array<array<double>>"))
+
+
+def read_annotations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, observation_id, boxes_xywh, polygons_by_frame) of annotation files: `{"observations": {id: ...}}`, one object, or a bare
+    list of boxes; of the last two the id is null and holds for any observation of the file."""
+    one = "struct<boxes_xywh:array<array<double>>,polygons_by_frame:array<array<array<double>>>>"
+    text = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    many = F.from_json("value", f"struct<observations:map<string,{one}>>")["observations"]
+    parsed = text.select("path", many.alias("many"), F.from_json("value", one).alias("one"), F.from_json("value", "array<array<double>>").alias("bare"), F.ltrim("value").startswith("[").alias("list"))
+    named = parsed.where("many is not null").select("path", F.explode("many").alias("observation_id", "a")).select("path", "observation_id", "a.*")
+    rest = parsed.where("many is null").select(
+        "path", F.lit(None).cast("string").alias("observation_id"), F.when(F.col("list"), F.col("bare")).otherwise(F.col("one.boxes_xywh")).alias("boxes_xywh"), F.when(~F.col("list"), F.col("one.polygons_by_frame")).alias("polygons_by_frame")
+    )
+    return named.unionByName(rest)

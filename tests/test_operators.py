@@ -214,6 +214,19 @@ def test_pools(spark):
         pooling.region_pools(frame(spark, [("a", [1.0], float("nan"))], "observation_id string, embedding array<double>, occupancy double")).collect()
 
 
+def test_polygons(spark):
+    square = [2.0, 3.0, 8.0, 3.0, 8.0, 7.0, 2.0, 7.0]
+    m = pooling.fill_polygons([square], 10, 12)
+    assert m.sum() == 24 and m[3:7, 2:8].all()
+    triangle = pooling.fill_polygons([[0.0, 0.0, 10.0, 0.0, 0.0, 10.0]], 10, 10)
+    assert abs(triangle.sum() - 50) <= 6
+    whole = [0.0, 0.0, 1280.0, 0.0, 1280.0, 720.0, 0.0, 720.0]
+    rows = [("a", 0, [whole], 720, 1280), ("a", 1, [whole], 720, 1280), ("b", 0, [[0.0, 0.0, 5.0, 0.0, 5.0, 5.0]], 720, 1280), ("c", 0, None, 720, 1280)]
+    f = frame(spark, rows, "observation_id string, frame long, polygons array<array<double>>, image_height int, image_width int")
+    got = pooling.polygon_occupancy(f).groupBy("observation_id").agg(F.sum("occupancy").alias("m"), F.count("*").alias("n")).collect()
+    assert [(r["observation_id"], r["m"], r["n"]) for r in got] == [("a", 576.0, 576)]
+
+
 def test_token_positions(spark):
     r = spark.range(1).select(B.token_position(F.lit(576 + 25), 4608).alias("p")).first()["p"]
     assert (r["t"], r["i"], r["j"]) == (1, 1, 1)
@@ -402,6 +415,16 @@ def test_candidate_triplets(spark):
     assert ("a", "b", "f") in got and not any(t[2] == "d" for t in got if t[0] == "a") and ("a", "b", "c") not in got
 
 
+def test_agreement_and_ranges(spark):
+    f = frame(spark, [(u, v) for u, vs in (("a", "xx"), ("b", "xy"), ("c", "yy"), ("d", "x")) for v in vs], "u string, v string")
+    # Observed disagreement 2/6, expected (36 - 18) / (6 * 5).
+    assert segments.krippendorff(f, "u", "v").first()["alpha"] == pytest.approx(1 - (2 / 6) / (18 / 30))
+    t = frame(spark, [(float(i),) for i in range(50)], "t double")
+    c = frame(spark, [(10.5,), (49.0,)], "c double")
+    got = segments.around(t, "t", c, "c", 3.0).groupBy("c").count().collect()
+    assert {r["c"]: r["count"] for r in got} == {10.5: 6, 49.0: 4}
+
+
 def test_hashing(tmp_path):
     assert hashing.canonical_json({"b": 1, "a": "é"}) == '{"a":"é","b":1}'.encode()
     hashing.write_json(tmp_path / "x.json", {"b": 1})

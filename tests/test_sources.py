@@ -66,6 +66,19 @@ def test_coco(spark, tmp_path):
     assert [len(x[0]) for x in flat.select(tables.polygons(F.col("s"))).collect()] == [1, 0, 0]
 
 
+def test_annotations(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"observations": {"o1": {"boxes_xywh": [[1, 2, 3, 4]]}, "o2": {"polygons_by_frame": [[[0, 0, 1, 0, 1, 1]]]}}}')
+    (tmp_path / "b.json").write_text("[[5, 6, 7, 8], [1, 1, 1, 1]]")
+    (tmp_path / "c.json").write_text('{"boxes_xywh": [[9, 9, 9, 9]]}')
+    got = {(r["path"].rsplit("/", 1)[1], r["observation_id"]): r for r in tables.read_annotations(spark, str(tmp_path / "*.json")).collect()}
+    assert got["a.json", "o1"]["boxes_xywh"] == [[1.0, 2.0, 3.0, 4.0]] and got["a.json", "o2"]["polygons_by_frame"] == [[[0.0, 0.0, 1.0, 0.0, 1.0, 1.0]]]
+    assert len(got["b.json", None]["boxes_xywh"]) == 2 and got["c.json", None]["boxes_xywh"] == [[9.0] * 4]
+    two = spark.createDataFrame([(None, [[1.0] * 4] * 2), ([2.0] * 4, None)], "own array<double>, file array<array<double>>")
+    assert two.where("file is not null").select(tables.boxes_of(F.col("own"), F.col("file"), 2)).first()[0] == [[1.0] * 4] * 2
+    with pytest.raises(Exception, match="boxes of four"):
+        two.select(tables.boxes_of(F.col("own"), F.col("file"), 2)).collect()
+
+
 def test_labels(spark, tmp_path):
     (tmp_path / "sequence.7.txt").write_text("a\na\nb\n")
     (tmp_path / "sequence.8.txt").write_text("")
