@@ -3,9 +3,10 @@
 A document is its token ids and a closing 0. Only one longer than a sequence is cut: into whole sequences, with its rest as the first
 piece. Whole pieces are sequences of their own; rests and short documents are packed. Every partition packs its own by best fit in
 decreasing order, by a bit set of the free room in open bins (one step a piece), and emits its bins. Bins that are nearly full, or so
-full that no underfull bin of any size could join them, stay; the others go up a tree as items of their fill, in groups of FAN
-partitions, are packed by best fit again, and so on until one group is left. After best fit at most one bin of a group is half empty, so
-what goes up from a group is one bin that can take a partner and those few it could join; the last group stays small.
+full that no underfull bin of any size could join them, stay; of the others the UP with most room go up a tree as items of their fill, in
+groups of FAN partitions, are packed by best fit again, and so on until one group is left. After best fit at most one bin of a group is
+half empty or more; such bins are what can still be merged, each with one of the roomiest bins of another group. So no group of the
+tree, the last one included, has more than FAN * UP bins, however many documents there are, and every bin that stays is a sequence.
 
 Tokens are encoded once; the table of pieces is written to the shared folder, and packing works on lengths.
 
@@ -21,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortgeo.llm.common import bounded_batches
 from cohortgeo.sources.shared import materialize
@@ -29,8 +30,8 @@ from cohortgeo.sources.shared import materialize
 LENGTH, CLOSE = 2048, 0
 #: Bins with at most so much room are nearly full.
 NEARLY = 16
-#: Partitions that one group of the tree takes together.
-FAN = 8
+#: Partitions that one group of the tree takes together, and bins with most room that go up from a group; the rest are sequences.
+FAN, UP = 8, 64
 
 
 def encoder(path: str | None = None):
@@ -133,7 +134,9 @@ def merge_bins(bins: DataFrame, length: int = LENGTH, nearly: int = NEARLY) -> D
     none = "bin long, sequence_id long, base long"
     if smallest is None:
         return spark.createDataFrame([], none)
-    open_ = materialize(bins.where((F.col("fill") <= length - max(nearly, smallest))).select("bin", "fill", F.shiftright("bin", 32).alias("g")))
+    roomiest = Window.partitionBy("g").orderBy("fill", "bin")
+    open_ = bins.where((F.col("fill") <= length - max(nearly, smallest))).select("bin", "fill", F.shiftright("bin", 32).alias("g"))
+    open_ = materialize(open_.withColumn("r", F.row_number().over(roomiest)).where(F.col("r") <= UP).drop("r"))
     groups = open_.agg(F.max("g")).first()[0]
     found = None
     if groups is None:
@@ -167,6 +170,7 @@ def merge_bins(bins: DataFrame, length: int = LENGTH, nearly: int = NEARLY) -> D
         if groups == 0:
             return found
         bins_now = packed.where("bin = sequence_id and base = 0").select("bin", "fill", "g")
+        bins_now = bins_now.withColumn("r", F.row_number().over(roomiest)).where(F.col("r") <= UP).drop("r")
         smallest = bins_now.agg(F.min("fill")).first()[0]
         level = bins_now.where(F.col("fill") <= length - max(nearly, smallest))
 
