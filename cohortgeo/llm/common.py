@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows and bytes that one Arrow batch of texts may hold; memory of a Python worker follows from them.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -36,6 +37,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def arrow_type(kind: str) -> pa.DataType:
+    """The Arrow type of a Spark type's name."""
+    return to_arrow_type(T._parse_datatype_string(kind))
+
+
 def map_batches(df: DataFrame, columns: list[str], added: str, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """`columns` of df as they are, and what `work` makes of each batch, as columns of the DDL schema `added`."""
     bounded_batches(df.sparkSession)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohortgeo.llm.common import bounded_batches, map_batches, utf8
+from cohortgeo.llm.common import arrow_type, bounded_batches, map_batches, utf8
 
 LEAST, TARGET = 0.8, 0.95
 REPEATS, SEED = 10, 20_240
@@ -265,7 +265,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     bounded_batches(spark)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {kind}, item {item_kind}, similarity double, first_byte long"
-    types = pa.schema([("id", _arrow(kind)), ("item", _arrow(item_kind)), ("similarity", pa.float64()), ("first_byte", pa.int64())])
+    types = pa.schema([("id", arrow_type(kind)), ("item", arrow_type(item_kind)), ("similarity", pa.float64()), ("first_byte", pa.int64())])
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = None
     for index in _blocks(benchmark, item_col, item_text):
@@ -304,10 +304,6 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col:
     return out
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[kind]
-
-
 def _pieces(offsets: np.ndarray, overlap: int):
     """(first byte, last byte, [(start, end, text)]) of about PIECE bytes; a longer text is cut, with `overlap` bytes twice."""
     group, first = [], None

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortgeo.llm.common import bounded_batches
+from cohortgeo.llm.common import arrow_type, bounded_batches
 from cohortgeo.sources.shared import materialize
 
 LENGTH, CLOSE = 2048, 0
@@ -88,7 +88,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, length: int, path: str |
     bin: partition << 32 and a number in it.
     """
     bounded_batches(docs.sparkSession)
-    schema = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
+    schema = docs.schema[id_col].dataType.simpleString()
+    key_type = arrow_type(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
@@ -113,19 +114,15 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, length: int, path: str |
         where, offset, fill = best_fit(table[:, 3], length)
         bins = (part << 32) + where
         out = {"piece": table[:, 1], "start": table[:, 2], "length": table[:, 3], "ids_crc32": table[:, 4], "bin": bins, "offset": offset, "fill": fill[where]}
-        keys = pa.array(ids).take(pa.array(table[:, 0])) if any(x is not None for x in ids) else pa.nulls(len(table), pa.int64())
+        keys = pa.array(ids, key_type).take(pa.array(table[:, 0]))
         for at in range(0, len(table), 50_000):
-            yield pa.RecordBatch.from_arrays([keys[at : at + 50_000].cast(_arrow(schema)), *[pa.array(v[at : at + 50_000]) for v in out.values()]], names=["id", *out])
+            yield pa.RecordBatch.from_arrays([keys[at : at + 50_000], *[pa.array(v[at : at + 50_000]) for v in out.values()]], names=["id", *out])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {schema}, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long".replace("piece int", "piece long")
+        run, f"id {schema}, piece long, start long, length long, ids_crc32 long, bin long, offset long, fill long"
     )
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[kind]
-
-
 def merge_bins(bins: DataFrame, length: int = LENGTH, nearly: int = NEARLY) -> DataFrame:
     """(bin, sequence_id, base): where bins that are merged go, from (bin, fill) of all bins, up a tree of groups of FAN partitions."""
     spark = bins.sparkSession

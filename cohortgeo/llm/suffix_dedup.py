@@ -30,7 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from cohortgeo.llm.common import bounded_batches, utf8
+from cohortgeo.llm.common import arrow_type, bounded_batches, utf8
 
 SPAN, GRAM = 50, 20
 #: Bytes of text that a block, and hashes or bytes of reads that a bucket, is meant to hold.
@@ -338,6 +338,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = max(size[0] // BLOCK_BYTES, size[1] // 50_000) + 1
     buckets = max(int(size[0] / 13 / BUCKET_HASHES), 11) + 1
     kind = docs.schema[id_col].dataType.simpleString()
+    id_type = arrow_type(kind)
     base = docs.select(
         F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.octet_length(text_col)), F.lit(blocks)).cast("long").alias("b"),
         F.col(id_col).alias("id"),
@@ -443,7 +444,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def take_out(docs_: pa.Table, answer: pa.Table) -> pa.Table:
         if not docs_.num_rows:
-            return pa.table({"id": pa.array([], _unpack_type(kind))} | {k: pa.array([], t) for k, t in RESULT.items()})
+            return pa.table({"id": pa.array([], id_type)} | {k: pa.array([], t) for k, t in RESULT.items()})
         rows = _unpack(docs_)
         data, offsets = utf8(rows["text"])
         marked = np.zeros(len(data) + 1, np.int32)
@@ -473,10 +474,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 RESULT = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
 
 
-def _unpack_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[kind]
-
-
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -15,42 +15,63 @@ from cohortgeo.sources.shared import materialize
 LEAST_SCORE = 0.5
 
 
+class _Placed:
+    """The table with its columns named by place, so that no column of it, whatever its name, meets one that an operator makes."""
+
+    def __init__(self, docs: DataFrame):
+        self.given = docs.columns
+        self.names = [f"__c{i}" for i in range(len(self.given))]
+        self.docs = docs.toDF(*self.names)
+
+    def __getitem__(self, name: str) -> str:
+        return self.names[self.given.index(name)]
+
+    def back(self, out: DataFrame) -> DataFrame:
+        return out.select(*self.names).toDF(*self.given)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows go whose text is null or has no letter, or whose language isn't told (score under LEAST_SCORE); a null `lang` is filled in."""
-    found = language_id.identify(docs, language_id.train(docs), docs.columns)
+    """Rows go whose text is null or has no letter, or whose language isn't told (score under LEAST_SCORE); a null `lang` is filled in.
+    Without any labelled row no language is known, and all rows go."""
+    t = _Placed(docs)
+    model = language_id.train(t.docs, t["doc_id"], t["text"], t["lang"])
+    found = language_id.identify(t.docs, model, t.names, t["text"])
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return t.back(kept.withColumn(t["lang"], F.coalesce(t["lang"], "lang_pred")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays, once. Rows without an id stay if no document with an id is
-    in a group of theirs or of others without one; of equal ones among them, one."""
-    marked = simhash.near_duplicates(docs)
-    kept = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return left.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Of each group of near-duplicates the document of the smallest id stays; of rows equal in id and text, one. Rows without an id stay
+    if no document with an id is in a group of theirs or of others without one; of equal ones among them, one."""
+    t = _Placed(docs)
+    i = F.col(t["doc_id"])
+    marked = simhash.near_duplicates(t.docs, t["doc_id"], t["text"])
+    kept = marked.where(i.eqNullSafe(F.col("component_id"))).select(i.alias("__kept")).distinct()
+    left = t.docs.join(kept, i.eqNullSafe(F.col("__kept")), "left_semi")
+    return t.back(left.dropDuplicates([t["doc_id"], t["text"]]))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; a null text holds none."""
+    t = _Placed(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.mark_leaks(docs, benchmark, docs.columns).where("n_leaks = 0").select(*docs.columns)
+    return t.back(decontaminate.mark_leaks(t.docs, benchmark, t.names, t["text"]).where("n_leaks = 0"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data is replaced by its kind; all documents stay, n_chars is counted anew where the text changed."""
-    found = pii.find_pii(docs, docs.columns, redact=True)
+    """Every span of personal data is replaced by its kind; all documents stay, n_chars is counted anew where the text changed. Null texts
+    stay null."""
+    t = _Placed(docs)
+    found = pii.find_pii(t.docs, t.names, t["text"], redact=True)
     changed = F.col("spans") != ""
-    return found.withColumns(
-        {
-            "n_chars": F.when(changed, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")),
-            "text": F.when(changed, F.col("redacted")).otherwise(F.col("text")),
-        }
-    ).select(*docs.columns)
+    n = F.length("redacted").cast(t.docs.schema[t["n_chars"]].dataType)
+    return t.back(
+        found.withColumns({t["n_chars"]: F.when(changed, n).otherwise(F.col(t["n_chars"])), t["text"]: F.when(changed, F.col("redacted")).otherwise(F.col(t["text"]))})
+    )
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document and its place in a sequence."""
+    """A row per piece of a document and its place in a sequence; a null text is the one id that closes a document."""
     return packing.pack_documents(docs)
 
 

@@ -48,6 +48,23 @@ def test_stages(spark, tables):
     assert {r["doc_id"] for r in packed} == set(last)
 
 
+def test_clashing_columns_nulls_and_empty_tables(spark, tables):
+    folder, _ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    extra = {c: docs["source"] for c in ("score", "lang_pred", "bits_per_byte", "fp", "fingerprint", "component_id", "n_leaks", "more", "spans", "redacted", "n_email", "id", "b", "a.b", "__c0")}
+    wide = docs.withColumns(extra)
+    for name, stage in pipeline.STAGES[:-1]:
+        plain, got = stage(spark, docs, folder), stage(spark, wide, folder)
+        assert got.columns == wide.columns
+        assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in plain.collect()), name
+    assert pipeline.STAGES[-1][1](spark, wide, folder).count() >= docs.count()
+    empty, nulls = docs.limit(0), spark.createDataFrame([(None,) * 5] * 3, docs.schema)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0, name
+    left = [stage(spark, nulls, folder).count() for _, stage in pipeline.STAGES]
+    assert left == [0, 1, 3, 3, 3]
+
+
 def test_names_and_order():
     assert [n for n, _ in pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "personal_data", "packing"]
 
