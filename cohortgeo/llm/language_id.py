@@ -16,8 +16,6 @@ columns are kept as they are.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -30,7 +28,6 @@ ORDER = 4
 DOCS_PER_LANGUAGE, CHARS_PER_DOCUMENT = 300, 20_000
 #: A text is scored in pieces of so many bytes, each after the ORDER bytes before it.
 PIECE = 1 << 19
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -207,7 +204,7 @@ def identify(docs: DataFrame, model: ContextTrees, keep: list[str], text_col: st
         best = bits.argmin(1)
         least = bits.min(1)
         score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
-        letter = np.array([t is not None and _LETTER.search(t) is not None for t in column.to_pylist()], bool)
+        letter = np.array([t is not None and any(map(str.isalpha, t)) for t in column.to_pylist()], bool)
         per = least / np.maximum(np.diff(offsets), 1)
         return {
             "lang_pred": pa.array([trees.languages[b] if ok else "und" for b, ok in zip(best, letter)], pa.string()),

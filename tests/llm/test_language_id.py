@@ -54,7 +54,7 @@ def documents(spark, rows):
 
 def test_cases(spark):
     rows = [(i, "the cat and the hat", "en", 1) for i in range(12)] + [(100 + i, "le chat et le chapeau", "fr", 1) for i in range(12)]
-    rows += [(200, None, "en", 1), (201, "", None, 1), (202, "123 --- 456", "fr", 1), (203, "the hat", None, 1), (203, "the hat", None, 1), (None, "le chapeau " * 5000, None, 1)]
+    rows += [(200, None, "en", 1), (201, "", None, 1), (202, "123 --- 456 ½ ²", "fr", 1), (203, "the hat", None, 1), (203, "the hat", None, 1), (None, "le chapeau " * 5000, None, 1)]
     docs = documents(spark, rows)
     model = L.train(docs)
     got = {}
