@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortgeo.functions import vectors as V
-from cohortgeo.operators import components, evaluation, linalg, motion, nested, phases, pooling, predict, segments, splits, validation
+from cohortgeo.operators import components, evaluation, linalg, motion, nested, phases, pooling, predict, segments, splits, training, triplets, validation
 from cohortgeo.plans import fixtures as X
 from cohortgeo.sources import release, store
 
@@ -762,3 +762,13 @@ def linear_probe(spark, sf_dir):
     e = X.table(spark, sf_dir, "embeddings")
     p = evaluation.linear_probe(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0"), "embedding", "label", iterations=30)
     return evaluation.group_macro(p.withColumn("g", F.col("vec_id") % 7), "g", "label", "predicted")
+
+
+@query()
+def trained_readout(spark, sf_dir):
+    """A readout trained on two thirds of the groups, and the tie-aware score before and after on the others."""
+    gathered = triplets.gather(X.trip(spark, sf_dir), X.feat(spark, sf_dir))
+    metric, _ = training.fit(training.sample(gathered.where("dependency_group_id % 3 <> 0")), "positive_diagonal", steps=50, rate=0.01, batch=128)
+    after = triplets.with_norm(linalg.readout(X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("observation_id"), "embedding"), "embedding", metric))
+    score = lambda f, name: nested.nested_mean(triplets.distances(f.where("dependency_group_id % 3 = 0")), {"sns": _score()}).select(F.lit(name).alias("readout"), "sns", "groups", "rows")
+    return score(gathered, "identity").unionByName(score(triplets.gather(X.trip(spark, sf_dir), after), "trained"))
