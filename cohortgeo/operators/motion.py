@@ -160,13 +160,13 @@ def kinematics(boxes: DataFrame, observation: str = "observation_id", frame: str
     ).where("dt is not null and weight > 0")
     out = None
     for name in ("speed", "area_rate", "aspect_rate"):
-        by = Window.partitionBy(observation).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
+        by = Window.partitionBy(observation).orderBy(name)  # equal values together
         total = Window.partitionBy(observation)
         ranked = steps.withColumn("run", F.sum("weight").over(by)).withColumn("total", F.sum("weight").over(total))
         part = ranked.groupBy(observation).agg(
             (F.sum(F.col("weight") * F.col(name)) / F.sum("weight")).alias(f"{name}_mean"),
-            F.min(F.when(F.col("run") >= 0.5 * F.col("total"), F.col(name))).alias(f"{name}_q50"),
-            F.min(F.when(F.col("run") >= 0.9 * F.col("total"), F.col(name))).alias(f"{name}_q90"),
+            F.min(F.when(F.col("run") >= 0.5 * F.col("total") - 1e-12, F.col(name))).alias(f"{name}_q50"),
+            F.min(F.when(F.col("run") >= 0.9 * F.col("total") - 1e-12, F.col(name))).alias(f"{name}_q90"),
         )
         out = part if out is None else out.join(part, observation)
     return out

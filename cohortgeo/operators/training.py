@@ -125,3 +125,59 @@ def fit(data: dict[str, np.ndarray], name: str, bottleneck: int = 256, margin: f
             w = metric.weights[k]
             metric.weights[k] = w * (1 - rate * decay) - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     return metric, losses
+
+
+class MlpProbe:
+    """X11: one hidden layer with GELU and softmax over classes 0 to C - 1."""
+
+    def __init__(self, dimension: int, classes: int, hidden: int = 256, seed: int = 0):
+        r = np.random.default_rng(seed)
+        self.weights = {
+            "down": r.uniform(-1, 1, (hidden, dimension)) / math.sqrt(dimension), "c": np.zeros(hidden),
+            "up": r.uniform(-1, 1, (classes, hidden)) / math.sqrt(hidden), "e": np.zeros(classes),
+        }
+
+    def loss(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy and gradients; keep: dropout mask of the hidden layer, scaled."""
+        p = self.weights
+        a = x @ p["down"].T + p["c"]
+        phi = 0.5 * (1 + _ERF(a / math.sqrt(2)))
+        h = a * phi * (1 if keep is None else keep)
+        z = h @ p["up"].T + p["e"]
+        z = z - z.max(1, keepdims=True)
+        q = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+        rows = np.arange(len(y))
+        gz = q.copy()
+        gz[rows, y] -= 1
+        gz /= len(y)
+        ga = (gz @ p["up"]) * (1 if keep is None else keep) * (phi + a * np.exp(-a * a / 2) / math.sqrt(2 * math.pi))
+        return float(-np.log(q[rows, y]).mean()), {"up": gz.T @ h, "e": gz.sum(0), "down": ga.T @ x, "c": ga.sum(0)}
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        p = self.weights
+        a = x @ p["down"].T + p["c"]
+        return (a * 0.5 * (1 + _ERF(a / math.sqrt(2)))) @ p["up"].T + p["e"]
+
+
+def fit_probe(x: np.ndarray, y: np.ndarray, group: np.ndarray, hidden: int = 256, steps: int = 300, rate: float = 1e-3, decay: float = 1e-4, dropout: float = 0.1, batch: int = 256, seed: int = 20260820) -> MlpProbe:
+    """AdamW; a batch draws groups uniformly, then an observation of each."""
+    probe, rng = MlpProbe(x.shape[1], int(y.max()) + 1, hidden, seed), np.random.default_rng(seed)
+    members = [np.flatnonzero(group == g) for g in np.unique(group)]
+    first = {k: np.zeros_like(v) for k, v in probe.weights.items()}
+    second = {k: np.zeros_like(v) for k, v in probe.weights.items()}
+    for step in range(1, steps + 1):
+        i = np.array([m[rng.integers(0, len(m))] for m in (members[g] for g in rng.integers(0, len(members), batch))])
+        _, grad = probe.loss(x[i], y[i], (rng.random((batch, hidden)) >= dropout) / (1 - dropout))
+        for k, g in grad.items():
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.999 * second[k] + 0.001 * g * g
+            probe.weights[k] = probe.weights[k] * (1 - rate * decay) - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    return probe
+
+
+def probe_sample(rows: DataFrame, key: str, vector: str, label: str, group: str, most: int = MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, labels and groups of at most `most` rows, those of least hash."""
+    taken = rows.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(most).select(vector, label, group).collect()
+    if not taken:
+        raise ValueError("there is no row to train on")
+    return np.array([r[0] for r in taken], float), np.array([r[1] for r in taken], int), np.array([str(r[2]) for r in taken])

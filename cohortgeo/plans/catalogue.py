@@ -772,3 +772,33 @@ def trained_readout(spark, sf_dir):
     after = triplets.with_norm(linalg.readout(X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("observation_id"), "embedding"), "embedding", metric))
     score = lambda f, name: nested.nested_mean(triplets.distances(f.where("dependency_group_id % 3 = 0")), {"sns": _score()}).select(F.lit(name).alias("readout"), "sns", "groups", "rows")
     return score(gathered, "identity").unionByName(score(triplets.gather(X.trip(spark, sf_dir), after), "trained"))
+
+
+_KINEMATICS = """boxes as (select user_id s, f, 1 - (f % 3) / 4.0::double v, ((f * 37) % 1240)::double x, ((f * 53) % 690)::double y, (10 + f % 7)::double w, (5 + f % 5)::double h
+  from (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 f from events)),
+st as (select s, (lead(f) over q - f) / 30.0::double dt, least(v, lead(v) over q) vv, sqrt(pow(lead(x + w / 2) over q - (x + w / 2), 2) + pow(lead(y + h / 2) over q - (y + h / 2), 2)) d from boxes window q as (partition by s order by f)),
+k as (select s, dt * vv wt, d / dt speed from st where dt is not null and dt * vv > 0),
+r as (select *, sum(wt) over (partition by s order by speed range between unbounded preceding and current row) run, sum(wt) over (partition by s) total from k)"""
+
+
+@query(
+    f"""with {_KINEMATICS} select s observation_id, round(sum(wt * speed) / sum(wt), 6) speed_mean, round(min(speed) filter (run >= 0.5 * total - 1e-12), 6) speed_q50,
+round(min(speed) filter (run >= 0.9 * total - 1e-12), 6) speed_q90 from r group by 1"""
+)
+def motion_kinematics(spark, sf_dir):
+    f = F.col("frame")
+    b = X.frames(spark, sf_dir).select(
+        F.col("sequence_id").alias("observation_id"), "frame", F.lit(30.0).alias("fps"), (1 - (f % 3) / 4.0).alias("v"), (f * 37 % 1240).cast("double").alias("x"), (f * 53 % 690).cast("double").alias("y"),
+        (10 + f % 7).cast("double").alias("w"), (5 + f % 5).cast("double").alias("h"),
+    )
+    k = motion.kinematics(b)
+    return k.select("observation_id", *[F.round(c, 6).alias(c) for c in ("speed_mean", "speed_q50", "speed_q90")])
+
+
+@query()
+def mlp_probe(spark, sf_dir):
+    e = X.table(spark, sf_dir, "embeddings").withColumn("g", F.col("vec_id") % 7)
+    probe = training.fit_probe(*training.probe_sample(e.where("vec_id % 5 <> 0"), "vec_id", "embedding", "label", "g"), hidden=32, steps=60)
+    scored = linalg.map_vectors(e.where("vec_id % 5 = 0").select("g", "label", "embedding"), "embedding", probe, "z")
+    predicted = scored.withColumn("predicted", (F.array_position("z", F.array_max("z")) - 1).cast("int"))
+    return evaluation.group_macro(predicted, "g", "label", "predicted")

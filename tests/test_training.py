@@ -66,3 +66,30 @@ def test_sample_and_metamorphic_rotation(spark):
     assert np.allclose((turned[0] * turned[1]).sum(1), (unit_rows(a["anchor"]) * unit_rows(a["state"])).sum(1))
     with pytest.raises(ValueError):
         T.sample(f.limit(0))
+
+
+def test_probe():
+    r = np.random.default_rng(7)
+    probe = T.MlpProbe(5, 3, 4, 1)
+    x, y = r.normal(size=(11, 5)), r.integers(0, 3, 11)
+    keep = (r.random((11, 4)) >= 0.3) / 0.7
+    _, grad = probe.loss(x, y, keep)
+    for k, v in probe.weights.items():
+        for at in np.ndindex(v.shape):
+            old = v[at]
+            v[at] = old + 1e-6
+            up = probe.loss(x, y, keep)[0]
+            v[at] = old - 1e-6
+            down = probe.loss(x, y, keep)[0]
+            v[at] = old
+            assert grad[k][at] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+    x = r.normal(size=(300, 5))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int)  # beyond a linear probe
+    fitted = T.fit_probe(x, y, np.arange(300) % 30, hidden=32, steps=400, rate=0.02)
+    assert (fitted(x).argmax(1) == y).mean() > 0.9
+
+
+def test_probe_sample(spark):
+    f = spark.createDataFrame([(i, [float(i), 1.0], i % 2, f"g{i % 3}") for i in range(20)], "id long, v array<double>, y int, g string")
+    a, b = T.probe_sample(f, "id", "v", "y", "g", 7), T.probe_sample(f.repartition(4), "id", "v", "y", "g", 7)
+    assert a[0].shape == (7, 2) and np.array_equal(a[0], b[0])
