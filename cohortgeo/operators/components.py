@@ -14,10 +14,10 @@ from cohortgeo.sources.shared import materialize
 MAX_ROUNDS = 60
 
 
-def _afresh(least: DataFrame) -> DataFrame:
-    """The same rows, with a key that the planner takes for a new one: the join then deals both its sides itself, and adaptive execution
+def _afresh(least: DataFrame, *keys: str) -> DataFrame:
+    """The same rows, with keys that the planner takes for new ones: the join then deals both its sides itself, and adaptive execution
     can split a hub's rows over tasks, which it can't where a side comes straight from an aggregation by the key."""
-    return least.select(F.when(F.col("m").isNotNull(), F.col("u")).alias("u"), "m")
+    return least.select(*[F.when(F.col("m").isNotNull(), F.col(k)).alias(k) for k in keys or ("u",)], "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def dependency_groups(frame: DataFrame, fields: list[str], observation_column: s
         F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("val")) for f in fields])).alias("k"),
     ).select("o", "k.f", "k.val").where("val is not null and trim(val) <> ''")
     least = pairs.groupBy("f", "val").agg(F.min("o").alias("m"), F.count("*").alias("n")).where("n > 1")
-    edges = pairs.join(least, ["f", "val"]).where("o <> m").select(F.col("o").alias("u"), F.col("m").alias("v"))
+    edges = pairs.join(_afresh(least, "f", "val"), ["f", "val"]).where("o <> m").select(F.col("o").alias("u"), F.col("m").alias("v"))
     comp = connected_components(edges)
     return ids.join(comp, ids.o == comp.node, "left").select(
         F.col("o").alias(observation_column), F.concat(F.lit("dep_"), F.coalesce("component", "o")).alias("dependency_group_id")

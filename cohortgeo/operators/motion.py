@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortgeo.functions import vectors as V
+from cohortgeo.sources.shared import materialize
 
 
 @dataclass(frozen=True)
@@ -128,10 +129,10 @@ def best_threshold(frame: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def running_count(counts: DataFrame, order: str, n: str) -> DataFrame:
-    """`before`: the sum of n over smaller values of `order` (distinct). Sorted by ranges; each range's total is a row, summed for all
-    ranges before, so no window spans the whole table."""
+    """`before`: the sum of n over smaller values of `order` (distinct). Dealt by ranges; each range's total is a row, summed for all
+    ranges before, so no window spans the whole table. Ranges come from a sample, so they are written down once and not made twice."""
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(parts, order).withColumn("__p", F.spark_partition_id())
+    ranged = materialize(counts.repartitionByRange(parts, order).withColumn("__p", F.spark_partition_id()))
     totals = ranged.groupBy("__p").agg(F.sum(n).alias("__t"))
     ahead = totals.withColumn("__a", F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).drop("__t")
     inner = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
