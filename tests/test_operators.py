@@ -51,6 +51,22 @@ def test_nested_mean_nulls(spark):
         nested.require_rows(f.limit(0))
 
 
+def test_nested_mean_against_pandas(spark):
+    import pandas as pd
+
+    r = random.Random(9)
+    pick = lambda xs: r.choice([*xs, None])
+    for _ in range(3):
+        rows = [(pick("gh"), pick("tuv"), pick("abcd"), r.choice([None, float("nan"), r.random(), r.random(), r.random()])) for _ in range(r.randint(1, 120))]
+        got = nested.nested_mean(frame(spark, rows, "dependency_group_id string, transition_id string, anchor_observation_id string, x double"), {"x": F.col("x")}).first()
+        p = pd.DataFrame(rows, columns=["g", "t", "a", "x"])
+        a = p.groupby(["g", "t", "a"], dropna=False)["x"].mean()
+        t = a.groupby(level=["g", "t"], dropna=False).mean()
+        g = t.groupby(level="g", dropna=False).mean()
+        assert (got["groups"], got["transitions"], got["anchors"], got["rows"]) == (len(g), len(t), len(a), len(p))
+        assert got["x"] == pytest.approx(g.mean()) if g.notna().any() else got["x"] is None
+
+
 def test_scores(spark):
     cases = [(0.5, 0.5, 0.5), (0.0, 1.0, 1.0), (1.0, 0.0, 0.0), (float("nan"), 1.0, 0.0), (None, 1.0, 0.0)]
     f = frame(spark, [(a, b) for a, b, _ in cases], "d_n double, d_s double")
