@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows and bytes that one Arrow batch of texts may hold; memory of a Python worker follows from them.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -55,5 +55,7 @@ def map_batches(df: DataFrame, columns: list[str], added: str, work: Callable[[p
             got = work(batch)
             made = [x if isinstance(x, pa.Array) else pa.array(x, from_pandas=False) for x in (got[n] for n in new.names)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *new.names])
+            del batch, made
+        pa.default_memory_pool().release_unused()  # the worker lives on, beside an executor that wants the memory
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *new.fields]))

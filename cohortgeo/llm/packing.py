@@ -2,9 +2,8 @@
 
 A document is its token ids and a closing 0. Only one longer than a sequence is cut: into whole sequences, with its rest as the first
 piece. Whole pieces are sequences of their own; rests and short documents are packed. Every partition packs its own by best fit in
-decreasing order, by a bit set of the free room in open bins (one step a piece), and emits its bins. Bins that are nearly full, or so
-full that no underfull bin of any size could join them, stay; of the others the UP with most room go up a tree as items of their fill, in
-groups of FAN partitions, are packed by best fit again, and so on until one group is left. After best fit at most one bin of a group is
+decreasing order, by a bit set of the free room in open bins (one step a piece), and emits its bins. Bins that are nearly full stay; of
+the others the UP with most room go up a tree as items of their fill, in groups of FAN partitions, are packed by best fit again, and so on until one group is left. After best fit at most one bin of a group is
 half empty or more; such bins are what can still be merged, each with one of the roomiest bins of another group. So no group of the
 tree, the last one included, has more than FAN * UP bins, however many documents there are, and every bin that stays is a sequence.
 
@@ -19,10 +18,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cohortgeo.llm.common import arrow_type, bounded_batches
 from cohortgeo.sources.shared import materialize
@@ -113,47 +111,51 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, length: int, path: str |
         table = np.array(rows, np.int64)
         where, offset, fill = best_fit(table[:, 3], length)
         bins = (part << 32) + where
-        out = {"piece": table[:, 1], "start": table[:, 2], "length": table[:, 3], "ids_crc32": table[:, 4], "bin": bins, "offset": offset, "fill": fill[where]}
+        up = _roomiest(fill, length)[where] & (offset == 0)
+        out = {"piece": table[:, 1], "start": table[:, 2], "length": table[:, 3], "ids_crc32": table[:, 4], "bin": bins, "offset": offset, "fill": fill[where], "up": up}
         keys = pa.array(ids, key_type).take(pa.array(table[:, 0]))
         for at in range(0, len(table), 50_000):
             yield pa.RecordBatch.from_arrays([keys[at : at + 50_000], *[pa.array(v[at : at + 50_000]) for v in out.values()]], names=["id", *out])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {schema}, piece long, start long, length long, ids_crc32 long, bin long, offset long, fill long"
+        run, f"id {schema}, piece long, start long, length long, ids_crc32 long, bin long, offset long, fill long, up boolean"
     )
 
 
-def merge_bins(bins: DataFrame, length: int = LENGTH, nearly: int = NEARLY) -> DataFrame:
-    """(bin, sequence_id, base): where bins that are merged go, from (bin, fill) of all bins, up a tree of groups of FAN partitions."""
+def _roomiest(fill: np.ndarray, length: int) -> np.ndarray:
+    """Which bins go up: those with most room that aren't nearly full, UP at most."""
+    up = np.zeros(len(fill), bool)
+    order = np.argsort(fill, kind="stable")[:UP]
+    up[order] = fill[order] <= length - NEARLY
+    return up
+
+
+def merge_bins(bins: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(bin, sequence_id, base): where bins that are merged go, from (bin, fill) of the bins that go up, by a tree of groups of FAN
+    partitions."""
     spark = bins.sparkSession
-    # A bin is of use further up if the smallest bin left anywhere fits into its room.
-    smallest = bins.agg(F.min("fill")).first()[0]
     none = "bin long, sequence_id long, base long"
-    if smallest is None:
-        return spark.createDataFrame([], none)
-    roomiest = Window.partitionBy("g").orderBy("fill", "bin")
-    open_ = bins.where((F.col("fill") <= length - max(nearly, smallest))).select("bin", "fill", F.shiftright("bin", 32).alias("g"))
-    open_ = materialize(open_.withColumn("r", F.row_number().over(roomiest)).where(F.col("r") <= UP).drop("r"))
+    open_ = materialize(bins.select("bin", "fill", F.shiftright("bin", 32).alias("g")))
     groups = open_.agg(F.max("g")).first()[0]
     found = None
     if groups is None:
         return spark.createDataFrame([], none)
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["fill", "bin"], ascending=[False, True])
-        where, offset, fill = best_fit(frame["fill"].to_numpy(), length)
+    def pack(t: pa.Table) -> pa.Table:
+        bins_, fills = t["bin"].to_numpy(), t["fill"].to_numpy()
+        order = np.lexsort((bins_, -fills))
+        bins_, fills = bins_[order], fills[order]
+        where, offset, fill = best_fit(fills, length)
         # A merged bin carries the name of its first member.
         name = np.zeros(len(fill), np.int64)
-        lead = offset == 0
-        name[where[lead]] = frame["bin"].to_numpy()[lead]
-        return pd.DataFrame({"bin": frame["bin"].to_numpy(), "sequence_id": name[where], "base": offset, "fill": fill[where], "g": frame["g"].to_numpy()})
+        name[where[offset == 0]] = bins_[offset == 0]
+        up = _roomiest(fill, length)[where] & (offset == 0)
+        return pa.table({"bin": bins_, "sequence_id": name[where], "base": offset, "fill": fill[where], "g": np.full(len(bins_), t["g"][0].as_py()), "up": up})
 
     level = open_
     while True:
         groups = groups // FAN
-        packed = materialize(
-            level.withColumn("g", F.floor(F.col("g") / FAN).cast("long")).groupBy("g").applyInPandas(pack, f"{none}, fill long, g long")
-        )
+        packed = materialize(level.withColumn("g", F.floor(F.col("g") / FAN).cast("long")).groupBy("g").applyInArrow(pack, f"{none}, fill long, g long, up boolean"))
         step = packed.where("bin <> sequence_id or base <> 0").select("bin", "sequence_id", "base")
         if found is None:
             found = step
@@ -166,10 +168,7 @@ def merge_bins(bins: DataFrame, length: int = LENGTH, nearly: int = NEARLY) -> D
             )
         if groups == 0:
             return found
-        bins_now = packed.where("bin = sequence_id and base = 0").select("bin", "fill", "g")
-        bins_now = bins_now.withColumn("r", F.row_number().over(roomiest)).where(F.col("r") <= UP).drop("r")
-        smallest = bins_now.agg(F.min("fill")).first()[0]
-        level = bins_now.where(F.col("fill") <= length - max(nearly, smallest))
+        level = packed.where("up").select("bin", "fill", "g")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None) -> DataFrame:
@@ -177,8 +176,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 0 < length < 1 << 16:
         raise ValueError("length must be 1 to 65535")
     made = materialize(pieces(docs, id_col, text_col, length, path))
-    bins = made.where("offset = 0").select("bin", "fill").where(F.col("fill") < length)
-    moved = merge_bins(bins, length)
+    moved = merge_bins(made.where("up").select("bin", "fill"), length)
     return made.join(moved, "bin", "left").select(
         F.col("id").alias(id_col),
         F.col("piece").cast("int").alias("piece"),

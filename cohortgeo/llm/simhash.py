@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -186,7 +185,7 @@ def links(distinct: DataFrame, n: int, bits: int = BITS) -> DataFrame:
         if got:
             star = linked(np.concatenate([k for _, k in got]), np.concatenate([f for f, _ in got]))
             for at in range(0, len(star), 100_000):
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(star[at : at + 100_000], columns=["u", "v"]), preserve_index=False)
+                yield pa.RecordBatch.from_arrays([pa.array(star[at : at + 100_000, k]) for k in (0, 1)], names=["u", "v"])
 
     return index.mapInArrow(run, "u long, v long")
 
