@@ -41,8 +41,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays; of rows equal in id and text, one. Rows without an id stay
-    if no document with an id is in a group of theirs or of others without one; of equal ones among them, one."""
+    """Of each group of near-duplicates the document of the smallest id stays; of rows equal in id and text, one. Rows of one id and
+    different texts stay together if any of them is the first of its group. Rows without an id stay if no document with an id is in a group
+    of theirs or of others without one; of equal ones among them, one."""
     t = _Placed(docs)
     i = F.col(t["doc_id"])
     marked = simhash.near_duplicates(t.docs, t["doc_id"], t["text"])
