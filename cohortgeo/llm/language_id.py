@@ -42,7 +42,8 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str,
     counts = {r[0]: r[1] for r in base.groupBy(label_col).count().collect()}
     if not counts:
         return []
-    mark = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
+    # Of id and text, so that rows which share an id have marks of their own; equal rows count once.
+    mark = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30))
     keep = None
     for label, n in counts.items():
         part = (F.col(label_col) == F.lit(label)) & (mark < int(min(1.0, 3 * per_label / n + 30 / n) * (1 << 30)))
@@ -50,9 +51,10 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str,
     rows = (
         base.where(keep & (F.length(text_col) <= CHARS_PER_DOCUMENT))
         .select(F.col(label_col).alias("label"), mark.alias("mark"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+        .distinct()
         .collect()
     )
-    rows.sort(key=lambda r: (r.label, r.mark, r.id, r.text))
+    rows.sort(key=lambda r: (r.label, r.mark, r.id or "", r.text))
     out: list[tuple[str, bytes]] = []
     taken: dict[str, int] = {}
     for r in rows:

@@ -75,6 +75,10 @@ def test_training_sees_no_held_out_row(spark):
     ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
     docs = documents(spark, [(i, f"secret{i} text", "en", 0) if i in ids else (i, "plain text", "en", 0) for i in range(400)])
     assert all(b"secret" not in t for _, t in L.training_sample(docs, "doc_id", "text", "lang"))
+    one = next(i for i in range(9) if i not in ids)
+    repeated = documents(spark, [(one, "one row", "en", 0)] * 3000 + [(one, f"text {i}", "en", 0) for i in range(3000)])
+    found = L.training_sample(repeated, "doc_id", "text", "lang", per_label=40)
+    assert 20 < len(found) <= 40 and len(set(found)) == len(found)
     held = {r["doc_id"] for r in docs.where(L.held_out(docs["doc_id"])).collect()}
     assert held == set(ids)
 
