@@ -98,18 +98,19 @@ class Block:
         self.data, self.offsets = utf8(texts)
         self.ids = raw.astype(np.int64)
         self.given = ids
-        owner = np.repeat(np.arange(len(self.ids)), np.diff(self.offsets))
+        small = np.int32 if len(self.data) < 1 << 31 else np.int64
+        ends = self.offsets[1:].astype(small)
+        owner = np.repeat(np.arange(len(self.ids), dtype=small), np.diff(self.offsets))
         self.anchor = anchors(self.data)
         n = len(self.anchor)
-        place = np.arange(n)
-        whole = place + SPAN <= self.offsets[1:][owner[:n]] if n else np.zeros(0, bool)
+        whole = np.arange(SPAN, SPAN + n, dtype=small) <= ends[owner[:n]] if n else np.zeros(0, bool)
         new = np.ones(n, bool)
         if n:
             new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (owner[1:n] != owner[: n - 1]) | ~whole[:-1]
         start = np.flatnonzero(new & whole)
         # A run ends before the next start or the last whole string of its document.
         stop = np.append(start[1:], n)
-        last = self.offsets[1:][owner[start]] - SPAN + 1 if n else np.zeros(0, np.int64)
+        last = ends[owner[start]].astype(np.int64) - SPAN + 1 if n else np.zeros(0, np.int64)
         stop = np.minimum(stop, last)
         width = SPAN - GRAM + 1  # a run of equal anchors that is longer (repetitive text) is cut
         pieces = -(-(stop - start) // width)
@@ -117,7 +118,7 @@ class Block:
         step = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         self.start = start[which] + step * width
         self.count = np.minimum(stop[which] - self.start, width)  # strings in the run
-        self.doc = owner[self.start] if n else np.zeros(0, np.int64)
+        self.doc = owner[self.start].astype(np.int64) if n else np.zeros(0, np.int64)
         self.key = self.anchor[self.start] if n else np.zeros(0, np.uint64)
 
     def shared_candidates(self) -> tuple[np.ndarray, np.ndarray]:
