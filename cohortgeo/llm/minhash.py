@@ -1,0 +1,188 @@
+"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands, and exact verification.
+
+A text is the set of XXH64 values of its shingles of five words. Of BANDS * ROWS random maps the least value of each is taken; sets that agree
+in all ROWS values of a band meet: at similarity 0.8 all but 0.04 % of pairs do, at more still fewer are lost. What meets is joined to
+components of candidates, and each text of one comes to its task once. There a breadth-first walk compares each newly linked set with the
+sets not yet linked, by exact Jaccard similarity, so a dense group costs its size and not its square. Equal sets are one entry, whatever
+their number.
+
+Defined cases: null and empty texts, and those without a word, are the empty set and equal; a text of one to four words is one shingle. Null
+ids take part; component_id is the smallest non-null id of a group. Repeated rows stay rows. A component of candidates is held by one task.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from cohortgeo.llm.common import bounded_batches, map_batches, utf8
+from cohortgeo.llm.simhash import SEED, _normal
+from cohortgeo.operators.components import connected_components
+from cohortgeo.sources.shared import materialize
+
+WORDS = 5
+#: The least similarity of a link, as a fraction.
+LEAST = (4, 5)
+BANDS, ROWS = 20, 5
+#: Shingles whose maps are reckoned at once.
+GROUP = 1 << 11
+#: Shingles that are Python's at once.
+PART = 1 << 16
+#: Bits of the map that tells which texts are read again.
+MAP_BITS = 26
+_RNG = np.random.default_rng(20_241)
+_FACTOR = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
+_PLUS = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
+
+
+def shingles(data: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """The text's set, sorted."""
+    text, begin, end = _normal(data)
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    width = min(words, len(begin))
+    digest = xxhash.xxh64_intdigest
+    begin, end = begin[: len(begin) - width + 1], end[width - 1 :]
+    out = np.zeros(len(begin), np.uint64)
+    for at in range(0, len(begin), PART):
+        out[at : at + PART] = [digest(text[b:e], SEED) for b, e in zip(begin[at : at + PART].tolist(), end[at : at + PART].tolist())]
+    return np.unique(out)
+
+
+def bands(values: np.ndarray) -> list[int]:
+    """A key for each band of a set, none for the empty set."""
+    if not len(values):
+        return []
+    low = (values >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), GROUP):
+        np.minimum(least, (low[None, at : at + GROUP] * _FACTOR + _PLUS).min(1), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)]
+
+
+def sketch(docs: DataFrame, keep: list[str], text_col: str, words: int = WORDS) -> DataFrame:
+    """`keep` (which holds text_col), the digest of each row's set, and its bands' keys."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        data, offsets = utf8(batch.column(batch.schema.names.index(text_col)))
+        sets = [shingles(data[offsets[i] : offsets[i + 1]], words) for i in range(len(offsets) - 1)]
+        keys = [np.array(bands(s), np.uint64).view(np.int64) for s in sets]
+        digest = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        return {"fp": digest, "bands": pa.array(keys, pa.list_(pa.int64()))}
+
+    return map_batches(docs, keep, "fp long, bands array<long>", work)
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(u, v): each digest `fp` and the smallest of each of its bands' keys that others have as well."""
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = distinct.select("fp", F.explode("bands").alias("key")).repartition(parts, "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not got:
+            return
+        fps, keys = (np.concatenate(x) for x in zip(*got))
+        order = np.lexsort((fps, keys))
+        fps, keys = fps[order], keys[order]
+        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        least = np.repeat(fps[start], np.diff(np.append(start, len(keys))))
+        pairs = np.unique(np.stack([fps, least], 1)[fps != least], axis=0)
+        for at in range(0, len(pairs), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 100_000, k]) for k in (0, 1)], names=["u", "v"])
+
+    return index.mapInArrow(run, "u long, v long")
+
+
+def groups(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the first of its group; groups are the components of links of LEAST similarity or more."""
+    label = np.arange(len(sets))
+    left = np.arange(len(sets))
+    size = np.array([len(s) for s in sets])
+    while len(left) > 1:
+        first, left = int(left[0]), left[1:]
+        todo = [first]
+        while todo and len(left):
+            x = todo.pop()
+            like = (LEAST[0] * size[x] <= LEAST[1] * size[left]) & (LEAST[0] * size[left] <= LEAST[1] * size[x]) & (size[left] > 0)
+            maybe = left[like]
+            if not len(maybe):
+                continue
+            flat = np.concatenate([sets[i] for i in maybe])
+            at = np.minimum(np.searchsorted(sets[x], flat), size[x] - 1)
+            same = np.add.reduceat((sets[x][at] == flat).astype(np.int64), np.cumsum(size[maybe]) - size[maybe])
+            found = maybe[LEAST[1] * same >= LEAST[0] * (size[x] + size[maybe] - same)]
+            if len(found):
+                label[found] = first
+                todo += found.tolist()
+                left = left[~np.isin(left, found)]
+    return label
+
+
+def _sets(marked: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(row, set) of the texts of `marked` whose row is among `rows`, and of few others: a bit map of fixed size is broadcast, so that only
+    these texts leave their place."""
+    spark = marked.sparkSession
+    at = F.xxhash64("row").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    words_of = rows.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(xxhash64(row) & 63 as int))").alias("b"))
+    got = words_of.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    bits[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    shared = spark.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place = b.column(2).to_numpy() & ((1 << MAP_BITS) - 1)
+            wanted = np.flatnonzero(shared.value[place >> 6] >> (place & 63) & 1)
+            if len(wanted):
+                data, offsets = utf8(b.column(1))
+                made = [shingles(data[offsets[i] : offsets[i + 1]], words).tobytes() for i in wanted.tolist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(wanted)), pa.array(made, pa.binary())], names=["row", "set"])
+        pa.default_memory_pool().release_unused()
+
+    bounded_batches(spark)
+    return marked.select("row", "text", F.xxhash64("row").alias("hash")).mapInArrow(run, "row long, set binary")
+
+
+def _linked(sets: DataFrame) -> DataFrame:
+    """(fp, head) of (component, fp, set): each digest and the first of its group."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for c, fp, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                held.setdefault(c, []).append((fp, np.frombuffer(s.as_py(), np.uint64)))
+        out = []
+        for members in held.values():
+            members.sort(key=lambda x: x[0])
+            label = groups([s for _, s in members])
+            out += [(members[i][0], members[k][0]) for i, k in enumerate(label.tolist())]
+        held.clear()
+        if out:
+            fp, head = np.array(out, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(head)], names=["fp", "head"])
+        pa.default_memory_pool().release_unused()
+
+    return sets.select("component", "fp", "set").repartition(parts, "component").mapInArrow(run, "fp long, head long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """id and component_id of each row."""
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = materialize(sketch(base, base.columns, "text", words).withColumn("row", F.monotonically_increasing_id()))
+    least = materialize(marked.groupBy("fp").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.min("bands").alias("bands")))
+    component = materialize(connected_components(candidates(least)))
+    nodes = materialize(component.join(least.select("fp", "row"), component.node == least.fp).select("component", "fp", "row"))
+    found = materialize(_linked(_sets(marked, nodes, words).join(nodes, "row")))
+    members = found.join(least.select("fp", "least"), "fp")
+    smallest = members.groupBy("head").agg(F.min("least").alias("smallest"))
+    moved = members.join(smallest, "head").select("fp", "smallest")
+    # As in op6: a key that the planner takes for a new one, so that adaptive execution splits the rows of very many equal texts.
+    of = least.select("fp", "least").join(moved, "fp", "left").select(F.when(F.col("fp").isNotNull(), F.col("fp")).alias("fp"), F.coalesce("smallest", "least").alias("component_id"))
+    return marked.select("id", "fp").join(of, "fp").select(F.col("id").alias(id_col), "component_id")

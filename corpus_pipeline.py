@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortgeo.llm import decontaminate, language_id, packing, pii, simhash
+from cohortgeo.llm import decontaminate, language_id, minhash, packing, pii
 from cohortgeo.sources.shared import materialize
 
 #: A prediction of less is no prediction.
@@ -41,12 +41,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays; of rows equal in id and text, one. Rows of one id and
+    """Near-duplicates share 0.8 or more of their shingles of five words. Of each group of them the document of the smallest id stays; of rows equal in id and text, one. Rows of one id and
     different texts stay together if any of them is the first of its group. Rows without an id stay if no document with an id is in a group
     of theirs or of others without one; of equal ones among them, one."""
     t = _Placed(docs)
     i = F.col(t["doc_id"])
-    marked = simhash.near_duplicates(t.docs, t["doc_id"], t["text"])
+    marked = minhash.near_duplicates(t.docs, t["doc_id"], t["text"])
     kept = marked.where(i.eqNullSafe(F.col("component_id"))).select(i.alias("__kept")).distinct()
     left = t.docs.join(kept, i.eqNullSafe(F.col("__kept")), "left_semi")
     return t.back(left.dropDuplicates([t["doc_id"], t["text"]]))
