@@ -3,13 +3,15 @@
 Symbols are words: lower-case runs of letters and digits. The CGK random walk maps a string of symbols to a longer one: at step j it
 emits the symbol under its pointer and moves the pointer on if a random bit of (j, symbol) is 1. Strings at a small edit distance walk
 apart at an edit and soon meet again, so their embeddings are at a small Hamming distance. Bit-sampling LSH draws the embedding at a few
-steps; in each of REPEATS repetitions, with a walk and steps of its own, a window of a document whose samples equal those of an item is a
-candidate. Windows begin at every word; items of a like number of words share their sampled steps, which lie within an item's length, so
-windows have the size of an item. The walk is lazy: after each sampled step only windows that some item still agrees with go on.
+steps; in each of REPEATS repetitions, with a walk and steps of its own, a place of a document whose samples equal those of a short stretch
+of an item is a seed. Each repetition takes another start of the stretch, so some stretch of an item of any length has few edits; places are
+all words. Items of a like number of words share their sampled steps. The walk is lazy: after each sampled step only places that some item
+still agrees with go on. Where the item is similar from some start that edits before the stretch allow, all those starts are candidates.
 Candidates are verified by the edit distance between the item and the words from the window's start, its end free, by banded dynamic
 programming: similarity is 1 - distance / words of the item, and LEAST or more is a leak.
 
-A copied item agrees in every repetition. REPEATS is set for a recall of TARGET at the least similarity of 0.9, measured in a test.
+A copied item agrees in every repetition. REPEATS is set for a recall of TARGET at the similarity LEAST for items of any number of words,
+measured in a test.
 
 Items are taken in blocks of ITEMS rows, whatever the benchmark's size: the broadcast is bounded, and each block is a pass over the
 documents.
@@ -30,10 +32,12 @@ from cohortgeo.llm.common import arrow_type, bounded_batches, map_batches, utf8
 
 LEAST, TARGET = 0.8, 0.95
 REPEATS, SEED = 10, 20_240
+#: Sampled steps lie in a stretch of at most so many words of an item; its start is another in each repetition.
+STRETCH, GOLDEN = 8, (5**0.5 - 1) / 2
 #: Items of one block.
 ITEMS = 20_000
 #: Words of the smallest item of each class of sizes.
-CLASSES = (1, 6, 12, 24, 48, 96, 192, 384, 768)
+CLASSES = (1, 6, 12)
 PIECE = 2 << 20
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -94,28 +98,30 @@ class Index:
         steps = 2 * max(CLASSES)
         self.salts = rng.integers(0, 1 << 32, (repeats, steps), dtype=np.uint32)
         low = np.searchsorted(CLASSES, self.size, "right") - 1
-        self.plans: list[list[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]] = []
+        self.plans: list[list[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]] = []
         self.first: list[dict[int, np.ndarray]] = []  # per repetition and step, the first sample of each item
         for r in range(repeats):
-            first = r % 4 if r else 0
             plan = []
             self.first.append({})
             for c in np.unique(low[low >= 0]):
                 members = np.flatnonzero(low == c)
-                least = CLASSES[c]
-                # A walk takes a step of one symbol in two on average and never more than one; at least * 1.25 it is inside the item.
-                late = sorted(rng.choice(np.arange(1, max(2, int(1.25 * least))), 2, replace=least < 4).tolist()) if least > 1 else [0, 0]
-                sampled = np.array([0 if least < 6 else first, *late])
-                sampled = np.maximum.accumulate(sampled)
-                keys, partial = self._item_keys(members, r, sampled)
-                plan.append((sampled, partial, keys, members))
+                stretch = max(1, min(2 * CLASSES[c] // 3, STRETCH))
+                # Starts are dealt evenly over the item, the first at its first word.
+                start = np.floor(r * GOLDEN % 1 * (self.size[members] - stretch + 1)).astype(np.int64)
+                # A walk takes a step of one symbol in two on average and never more than one; at stretch * 1.25 it is inside the stretch.
+                # A sample each of the middle and the last third of its steps: early ones are mostly the first word or the second again.
+                most = int(1.25 * stretch)
+                late = [int(rng.integers(max(1, most * k // 3), max(2, most * (k + 1) // 3))) for k in (1, 2)] if stretch > 1 else [0, 0]
+                sampled = np.array([0, *late])
+                keys, partial = self._item_keys(members, r, sampled, start)
+                plan.append((sampled, partial, keys, members, start))
             self.plans.append(plan)
 
-    def _item_keys(self, members: np.ndarray, r: int, sampled: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def _item_keys(self, members: np.ndarray, r: int, sampled: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Keys of the members after the last sample, and sorted distinct keys after each."""
         key = np.zeros(len(members), np.uint64)
         out: list[np.ndarray] = []
-        at, step = np.zeros(len(members), np.int64), 0
+        at, step = start, 0
         padded = np.zeros((len(members), int(self.size[members].max()) + 1), np.uint32)
         for i, m in enumerate(members):
             padded[i, : self.size[m]] = self.words[m]
@@ -130,32 +136,22 @@ class Index:
             out.append(np.unique(key))
         return key, out
 
-    def candidates(self, symbols: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def candidates(self, symbols: np.ndarray, room: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs; a window is the place of its first word. room: words from each place to its document's end."""
         found: list[np.ndarray] = []
         padded = np.append(symbols, np.uint32(0))
         n = len(symbols)
         for r, plan in enumerate(self.plans):
-            ahead = {0: np.arange(n)}
-            deepest = max((int(s[0]) for s, *_ in plan), default=0)
-            at = np.arange(n)
-            for step in range(deepest):  # the first sampled step is early: all windows go there together
-                at = np.minimum(at + _go(padded[at], self.salts[r, step]), n)
-                ahead[step + 1] = at
-            hopeful = {}  # places whose first sample some item has, by its step, whatever the class of sizes
-            for step in {int(s[0]) for s, *_ in plan}:
-                known = np.zeros(1 << 16, bool)
-                for s, _, _, members in plan:
-                    if s[0] == step:
-                        known[self.first[r][step][members] >> np.uint32(16)] = True
-                hopeful[step] = np.flatnonzero(known[padded[ahead[step]] >> np.uint32(16)])
-            for sampled, partial, keys, members in plan:
-                step = int(sampled[0])
-                window = hopeful[step]
-                at = ahead[step][window]
-                key = _extend(np.zeros(1, np.uint64), padded[at])
+            known = np.zeros(1 << 16, bool)  # places whose symbol some item has first, whatever the class of sizes
+            for _, _, _, members, _ in plan:
+                known[self.first[r][0][members] >> np.uint32(16)] = True
+            hopeful = np.flatnonzero(known[symbols >> np.uint32(16)])
+            for sampled, partial, keys, members, start in plan:
+                step, window = 0, hopeful
+                key = _extend(np.zeros(1, np.uint64), padded[window])
                 keep = _member(key, partial[0])
-                at, key, window = at[keep], key[keep], window[keep]
+                key, window = key[keep], window[keep]
+                at = window
                 for s, known in zip(sampled[1:], partial[1:]):
                     while step < s:
                         at = np.minimum(at + _go(padded[at], self.salts[r, step]), n)
@@ -168,18 +164,32 @@ class Index:
                 order = np.argsort(keys, kind="stable")
                 left, right = np.searchsorted(keys[order], key, "left"), np.searchsorted(keys[order], key, "right")
                 many = right - left
-                item = members[order[np.repeat(left, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]]
-                found.append(np.repeat(window, many) * len(self.ids) + item)
+                which = order[np.repeat(left, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+                window = np.repeat(window, many)
+                found.append(np.stack([window - start[which], members[which], window + room[window]], 1))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        both = np.unique(np.concatenate(found))
+        return self._windows(symbols, room, np.unique(np.concatenate(found), axis=0), least)
+
+    def _windows(self, symbols: np.ndarray, room: np.ndarray, seeds: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs of seeds (place of the item's first word if nothing before the stretch was edited, item, end of the document):
+        each start that edits before the stretch allow, where the item is similar enough from some of them."""
+        seeds = seeds[self.verify(symbols, room, seeds[:, 0], seeds[:, 1], least, seeds[:, 2]) >= least - 1e-9]
+        band = np.floor((1 - least) * self.size[seeds[:, 1]] + 1e-9).astype(np.int64)
+        many = 2 * band + 1
+        window = np.repeat(seeds[:, 0] - band - np.cumsum(many) + many, many) + np.arange(many.sum())
+        item, stop = np.repeat(seeds[:, 1], many), np.repeat(seeds[:, 2], many)
+        at = np.clip(window, 0, len(symbols) - 1)
+        inside = (window == at) & (at + room[at] == stop)  # in the same document
+        both = np.unique(window[inside] * len(self.ids) + item[inside])
         return both // len(self.ids), both % len(self.ids)
 
-    def verify(self, symbols: np.ndarray, room: np.ndarray, window: np.ndarray, item: np.ndarray, least: float = LEAST) -> np.ndarray:
-        """Similarity of each candidate, exact where it is `least` or more, else less."""
+    def verify(self, symbols: np.ndarray, room: np.ndarray, window: np.ndarray, item: np.ndarray, least: float = LEAST, ends: np.ndarray | None = None) -> np.ndarray:
+        """Similarity of each candidate, exact where it is `least` or more, else less. With `ends` (of the documents) a bound from above: the
+        best of any start that is at most as many words off as there may be edits, also before the document."""
         out = np.zeros(len(window))
         band_of = np.floor((1 - least) * self.size + 1e-9).astype(np.int64)
-        enough = room[window] >= self.size[item] - band_of[item]
+        enough = (room[window] if ends is None else ends - window + band_of[item]) >= self.size[item] - band_of[item]
         for size in np.unique(self.size[item[enough]]):
             n, band = int(size), int(np.floor((1 - least) * size + 1e-9))
             rows_all = np.flatnonzero(enough & (self.size[item] == size))
@@ -187,23 +197,24 @@ class Index:
                 rows = rows_all[at : at + 4096]
                 x = np.stack([self.words[i] for i in item[rows]])
                 w = window[rows]
-                stop = w + room[w]
+                stop = w + room[w] if ends is None else ends[rows]
                 width = 2 * band + 1
                 big = n + 1
                 # d[:, k]: distance of the item's first i words to the document's first i + k - band.
                 j = np.arange(width) - band
-                d = np.where(j >= 0, j, big)[None, :].repeat(len(rows), 0)
+                d = (np.where(j >= 0, j, big) if ends is None else np.zeros(width, np.int64))[None, :].repeat(len(rows), 0)
+                lead = 0 if ends is None else width  # words before the window that may be read
                 for i in range(1, n + 1):
                     place = w[:, None] + (i + j - 1)[None, :]
-                    ok = (i + j >= 1)[None, :] & (place < stop[:, None])
+                    ok = (i + j + lead >= 1)[None, :] & (place < stop[:, None])
                     y = symbols[np.clip(place, 0, len(symbols) - 1)]
                     swap = np.where(ok, d + (y != x[:, i - 1 : i]), big)
                     drop = np.concatenate([d[:, 1:], np.full((len(rows), 1), big)], 1) + 1
-                    drop = np.where((i + j >= 0)[None, :] & (place < stop[:, None]) | (i + j == 0)[None, :], drop, big)
+                    drop = np.where((i + j + lead >= 0)[None, :] & (place < stop[:, None]) | (i + j == 0)[None, :], drop, big)
                     e = np.minimum(swap, drop)
                     # A word more of the document: least of e[k'] + (k - k') to the left.
                     e = np.minimum.accumulate(e - j, 1) + j
-                    d = np.where((i + j >= 0)[None, :] & ((place < stop[:, None]) | (i + j == 0)[None, :]), np.minimum(e, big), big)
+                    d = np.where((i + j + lead >= 0)[None, :] & ((place < stop[:, None]) | (i + j == 0)[None, :]), np.minimum(e, big), big)
                     if i % 3 == 0:  # distances never fall from row to row
                         near = d.min(1) <= band
                         if not near.all():
@@ -249,7 +260,7 @@ def _best(index: Index, data: np.ndarray, offsets: np.ndarray, least: float) ->
             continue
         owner = np.searchsorted(starts, begin, "right") - 1
         room = np.searchsorted(owner, owner, "right") - np.arange(len(symbols))
-        window, item = index.candidates(symbols, room)
+        window, item = index.candidates(symbols, room, least)
         similar = index.verify(symbols, room, window, item, least)
         for k in np.flatnonzero(similar >= least - 1e-12).tolist():
             doc = pieces[int(owner[window[k]])][2]

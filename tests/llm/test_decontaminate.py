@@ -71,6 +71,19 @@ def test_recall():
         assert hits >= least * len(items), rate
 
 
+@pytest.mark.parametrize("n", [5, 6, 8, 11, 12, 15, 24, 60, 150, 300])
+def test_recall_at_the_least_similarity(n):
+    r = random.Random(n)
+    items = [(i, item(r, n)) for i in range(100 if n < 300 else 30)]
+    index = D.Index(items)
+    hits = 0
+    for i, text in items:
+        symbols, _, room = symbols_of(item(r, 20) + " " + edited(r, text, 0.2 + 1e-9) + " " + item(r, 20))
+        window, found = index.candidates(symbols, room)
+        hits += bool((index.verify(symbols, room, window, found)[found == i] >= 0.8 - 1e-12).any())
+    assert hits >= D.TARGET * len(items)
+
+
 def test_words_stop_at_bounds():
     data = np.frombuffer(b"abc defghi", np.uint8)
     whole, _ = D.words(data, np.array([0, 10]))
