@@ -612,11 +612,19 @@ from o a join o n on a.obj = n.obj and a.id <> n.id and a.y = n.y and (a.e < n.s
 where (n.e < s.s or s.e < n.s) and abs(abs(a.mid - n.mid) - abs(a.mid - s.mid)) <= 2"""
 )
 def candidate_triplets(spark, sf_dir):
-    """Over the first twelve segments of each track."""
+    """Over the first twelve segments of each track, as its SQL; candidate_triplets_whole takes all."""
+    return _candidate_triplets(segments.label_runs(X.frames(spark, sf_dir)).where("run_index < 12"))
+
+
+@query()
+def candidate_triplets_whole(spark, sf_dir):
+    return _candidate_triplets(segments.label_runs(X.frames(spark, sf_dir)))
+
+
+def _candidate_triplets(runs):
     from cohortgeo.operators.triplets import candidate_triplets as run
 
-    r = segments.label_runs(X.frames(spark, sf_dir)).where("run_index < 12")
-    o = r.select(
+    o = runs.select(
         F.concat_ws("_", F.col("sequence_id").cast("string"), F.col("run_index").cast("string")).alias("observation_id"), F.col("sequence_id").cast("string").alias("physical_object_id"),
         F.col("label").alias("state_label"), F.col("start").cast("long").alias("start_frame"), F.col("end").cast("long").alias("end_frame"),
     )

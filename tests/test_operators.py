@@ -431,6 +431,23 @@ def test_candidate_triplets(spark):
     assert ("a", "b", "f") in got and not any(t[2] == "d" for t in got if t[0] == "a") and ("a", "b", "c") not in got
 
 
+def test_candidate_triplets_of_whole_tracks(spark, monkeypatch):
+    from cohortgeo.plans import catalogue
+
+    runs = [(t, k, "abc"[(k * k + k // 3 + t) % 3], 7 * k + k % 4, 7 * k + k % 4 + 4) for t in (1, 2) for k in range(20)]
+    monkeypatch.setattr(catalogue.X, "frames", lambda *_: None)
+    monkeypatch.setattr(catalogue.segments, "label_runs", lambda _: frame(spark, runs, "sequence_id long, run_index long, label string, start long, end long"))
+    apart = lambda a, b: a[4] < b[3] or b[4] < a[3]
+    gap = lambda a, b: abs(a[3] + a[4] - b[3] - b[4]) / 2
+    want = {
+        tuple(f"{x[0]}_{x[1]}" for x in (a, n, s))
+        for a in runs for n in runs for s in runs
+        if a[0] == n[0] == s[0] and a != n and a[2] == n[2] != s[2] and apart(a, n) and apart(a, s) and apart(n, s) and abs(gap(a, n) - gap(a, s)) <= 2
+    }
+    got = [tuple(r)[1:4] for r in catalogue.queries()["candidate_triplets_whole"](spark, "").collect()]
+    assert set(got) == want and len(got) == len(want) and any(int(i.split("_")[1]) >= 12 for t in want for i in t)
+
+
 def test_agreement_and_ranges(spark):
     f = frame(spark, [(u, v) for u, vs in (("a", "xx"), ("b", "xy"), ("c", "yy"), ("d", "x")) for v in vs], "u string, v string")
     # Observed disagreement 2/6, expected (36 - 18) / (6 * 5).
