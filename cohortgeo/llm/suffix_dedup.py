@@ -5,42 +5,54 @@ A byte is removed if a string of SPAN bytes that covers it also starts in a docu
 1. Anchors. Each string of SPAN bytes has one: the least hash of its substrings of GRAM bytes. Equal strings have equal anchors, so a
    string can repeat in another document only if its anchor does. Blocks of documents send the distinct hashes of their anchors, by hash,
    to buckets, and get back those that two documents hold.
-2. Reads. Runs of strings with one such anchor are short reads (at most 2 * SPAN - GRAM bytes), which go to a bucket by their anchor,
-   each distinct read of a block once, with its least document id. An anchor that very many blocks hold is split: its strings go one by
-   one, by their own hash.
-3. BWT. A bucket's distinct reads, of anchors that have several, are inserted column by column: each round adds one symbol of every read, from its end, into the BWT of
+2. Reads. Runs of strings with one such anchor are short reads (at most 2 * SPAN - GRAM bytes). They go to a bucket by their anchor, each
+   distinct read of a block once with its least document id, however many documents of the block hold it. Strings of an anchor with very
+   many distinct reads go one by one, by their own hash, so that no bucket holds them all.
+3. BWT. A bucket's distinct reads are inserted column by column: each round adds one symbol of every read, from its end, into the BWT of
    all reads' suffixes and updates the common prefixes of neighbours by range minima. Where neighbours share SPAN bytes, their strings
-   are equal; the least document id of each run goes back to the blocks.
-4. A block marks the strings of each document that a smaller id has, and takes out the bytes they cover.
+   are equal; whether the least document id of such a run is below a block's own least goes back to that block, a bit for each string.
+4. A block marks its strings (those of a read's least document by the bits, those of its other documents all) and takes out the bytes
+   that they cover.
 
-The method's files are read and written in sequence each round; here a round's columns are arrays, as a bucket is small by construction,
-and the exchange between blocks and buckets is Spark's shuffle. What goes through it are packed arrays, a row for each block and bucket.
+The method inserts whole documents and has as many rounds as the longest has symbols, each of them a pass over all files. Reads bound the
+rounds by 2 * SPAN - GRAM whatever the longest text. A bucket's columns are read and written in sequence each round; they are arrays, not
+files, as a bucket is bounded, and what passes between blocks and buckets goes through Spark's shuffle as packed arrays, a row for each
+block and bucket. Blocks and buckets grow with the root of the input once the rows would hold less than ROW_HASHES hashes on average, so
+the number of rows grows with the input and not with its square.
+
+A block's rows are put in order of (id, text) before anything is said of places in it, so neither the order in which shuffled rows arrive
+nor a task that runs again can move a mark to another document.
 
 Defined cases: null or empty text has no bytes. Texts shorter than SPAN lose nothing. A repeated row (one id twice) is not before itself.
-A null id is after all others. Texts of any length are read whole.
+A null id is after all others. Texts of any length are read whole. An empty table gives no row. Columns other than id and text aren't
+read, so their names can't clash; the id column may not be called like a column of the result (ValueError).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from cohortgeo.llm.common import arrow_type, bounded_batches, utf8
 
 SPAN, GRAM = 50, 20
-#: Bytes of text that a block, and hashes or bytes of reads that a bucket, is meant to hold.
-BLOCK_BYTES, BUCKET_HASHES = 4 << 20, 1 << 20
-#: An anchor that so many blocks hold is split.
-SPLIT_BLOCKS = 2048
+#: Bytes of text that a block, and hashes of anchors that a bucket, is meant to hold at least.
+BLOCK_BYTES, BUCKET_HASHES = 24 << 20, 1 << 20
+#: Rows from blocks to buckets are to hold so many hashes on average; blocks and buckets grow for it. An anchor is about BYTES_A_HASH bytes.
+ROW_HASHES, BYTES_A_HASH = 512, 13
+#: An anchor with so many distinct reads, summed over blocks, is split.
+SPLIT_READS = 1 << 16
 LAST = np.iinfo(np.int64).max
-#: Bytes of text that a task packs together, and reads that are meant to be transformed together (they fit into a core's cache); those
-#: of one anchor always are.
-PACK, TOGETHER = 24 << 20, 1500
+#: Bytes of text that a task packs together, bytes whose anchors are found at once, and reads that are meant to be transformed together
+#: (they fit into a core's cache); those of one anchor always are.
+PACK, CHUNK, TOGETHER = 24 << 20, 4 << 20, 1500
 _B = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = 1 << 18
 
@@ -91,64 +103,85 @@ def anchors(data: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The documents of a block, laid end to end, and the runs of their strings by anchor."""
-
-    def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray):
-        raw = ids.to_numpy() if not ids.null_count else np.array([LAST if x is None else x for x in ids.to_pylist()])
-        self.data, self.offsets = utf8(texts)
-        self.ids = raw.astype(np.int64)
-        self.given = ids
-        small = np.int32 if len(self.data) < 1 << 31 else np.int64
-        ends = self.offsets[1:].astype(small)
-        owner = np.repeat(np.arange(len(self.ids), dtype=small), np.diff(self.offsets))
-        self.anchor = anchors(self.data)
-        n = len(self.anchor)
-        whole = np.arange(SPAN, SPAN + n, dtype=small) <= ends[owner[:n]] if n else np.zeros(0, bool)
-        new = np.ones(n, bool)
-        if n:
-            new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (owner[1:n] != owner[: n - 1]) | ~whole[:-1]
+    """The documents of a block in order of (id, text), laid end to end, and the runs of their strings by anchor."""
+
+    def __init__(self, rows: pa.Table):
+        text = rows["text"].cast(pa.large_string())
+        rows = pa.table({"id": rows["id"], "text": pc.fill_null(text, "")})
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("id", "ascending"), ("text", "ascending")], null_placement="at_end"))
+        self.given = rows["id"]
+        self.ids = pc.fill_null(rows["id"].cast(pa.int64()), int(LAST)).to_numpy()
+        self.data, self.offsets = utf8(rows["text"])
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, strings, document, anchor) of each run of strings with one anchor, by start."""
+        found = [self._runs(at, min(at + CHUNK, len(self.data) - SPAN + 1)) for at in range(0, len(self.data) - SPAN + 1, CHUNK)]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def _runs(self, at: int, end: int) -> tuple:
+        """Of the strings that start from `at` to `end`."""
+        anchor = anchors(self.data[at : end + SPAN - 1])
+        owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(np.clip(self.offsets, at, end)))
+        last = self.offsets[1:] - SPAN + 1  # a document's whole strings end here
+        whole = np.arange(at, end) < last[owner]
+        new = np.ones(end - at, bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]) | ~whole[:-1]
         start = np.flatnonzero(new & whole)
-        # A run ends before the next start or the last whole string of its document.
-        stop = np.append(start[1:], n)
-        last = ends[owner[start]].astype(np.int64) - SPAN + 1 if n else np.zeros(0, np.int64)
-        stop = np.minimum(stop, last)
+        stop = np.minimum(np.append(start[1:], end - at), last[owner[start]] - at)
         width = SPAN - GRAM + 1  # a run of equal anchors that is longer (repetitive text) is cut
         pieces = -(-(stop - start) // width)
         which = np.repeat(np.arange(len(start)), pieces)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        self.start = start[which] + step * width
-        self.count = np.minimum(stop[which] - self.start, width)  # strings in the run
-        self.doc = owner[self.start].astype(np.int64) if n else np.zeros(0, np.int64)
-        self.key = self.anchor[self.start] if n else np.zeros(0, np.uint64)
-
-    def shared_candidates(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors, and whether two documents of the block hold each."""
-        order = np.lexsort((self.doc, self.key))
-        key, doc = self.key[order], self.ids[self.doc[order]]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        first = start[which] + (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * width
+        return first + at, np.minimum(stop[which] - first, width).astype(np.uint8), owner[first], anchor[first]
+
+    def candidates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct anchors; for each, bit 7: two documents of the block hold it, other bits: the length in bits of its distinct reads' number."""
+        start, count, doc, key = self.runs()
         if not len(key):
-            return key, np.zeros(0, bool)
-        return key[first], np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-
-    def reads(self, shared: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, strings, document, key) of the runs whose anchor is shared (a sorted array); strings of a split anchor go alone."""
-        if not len(shared):
-            none = np.zeros(0, np.int64)
-            return none, none, none, none.astype(np.uint64)
-        at = np.minimum(np.searchsorted(shared, self.key), len(shared) - 1)
-        hit = shared[at] == self.key
-        alone = hit & split[at]
+            return key, np.zeros(0, np.uint8)
+        order = np.argsort(key, kind="stable")
+        key, doc = key[order], self.ids[doc[order]]  # ids go up
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        stop = np.append(first[1:], len(key))
+        twice = doc[first] != doc[stop - 1]
+        times = stop - first
+        reads = np.ones(len(first), np.int64)
+        again = np.repeat(times > 1, times)
+        if again.any():
+            with np.errstate(over="ignore"):
+                own = _hash_at(self.data, start[order[again]]) * _B + count[order[again]]
+            group = np.repeat(np.arange(len(first)), times)[again]
+            by = np.lexsort((own, group))
+            differs = np.concatenate([[True], (own[by][1:] != own[by][:-1]) | (group[by][1:] != group[by][:-1])])
+            reads[times > 1] = np.bincount(group[by][differs], minlength=len(first))[times > 1]
+        bits = np.frexp(reads.astype(np.float64))[1].astype(np.uint8)
+        return key[first], bits | (twice.astype(np.uint8) << 7)
+
+    def reads(self, known: list[tuple[int, np.ndarray, np.ndarray]], buckets: int) -> Iterator[tuple[int, "Reads"]]:
+        """(bucket, its reads) by what buckets told of this block's anchors: (bucket, hashes of shared anchors, whether each is split).
+        The same for the same block and answers, in whatever order these come."""
+        start, count, doc, key = self.runs()
+        tag = lambda bucket, short: short * np.uint64(buckets) + bucket
+        told = np.concatenate([tag(np.uint64(p), k) for p, k, _ in known])
+        many = np.concatenate([m for _, _, m in known])
+        order = np.argsort(told)
+        told, many = told[order], many[order]
+        mine = tag(key % np.uint64(buckets), _long(np.ascontiguousarray(_short(key, buckets)).ravel()))
+        at = np.minimum(np.searchsorted(told, mine), len(told) - 1)
+        hit = told[at] == mine
+        alone = hit & many[at]
         hit &= ~alone
-        n = self.count[alone]
-        one = np.repeat(self.start[alone], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        n = count[alone].astype(np.int64)
+        one = np.repeat(start[alone], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         with np.errstate(over="ignore"):
             own = _hash_at(self.data, one)
-        return (
-            np.concatenate([self.start[hit], one]),
-            np.concatenate([self.count[hit], np.ones(len(one), np.int64)]),
-            np.concatenate([self.doc[hit], np.repeat(self.doc[alone], n)]),
-            np.concatenate([self.key[hit], own]),
-        )
+        start, count = np.concatenate([start[hit], one]), np.concatenate([count[hit], np.ones(len(one), np.uint8)])
+        doc, key = np.concatenate([doc[hit], np.repeat(doc[alone], n)]), np.concatenate([key[hit], own])
+        by, parts = _by_bucket(key, buckets)
+        for p, s, e in parts:
+            yield p, Reads(self, *(x[by[s:e]] for x in (start, count, doc)))
 
 
 def _hash_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -159,17 +192,26 @@ def _hash_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 class Reads:
-    """Distinct reads of a block for one bucket: bytes end to end and lengths; how often each occurs, where, and in which documents."""
+    """Distinct reads of a block for one bucket, in order: bytes end to end, lengths and least ids; and each occurrence's read, place and id."""
 
     def __init__(self, block: Block, start: np.ndarray, count: np.ndarray, doc: np.ndarray):
-        length = count + SPAN - 1
-        grid = _grid(block.data, start, length)
-        _, first, of = np.unique(_rows(grid), return_index=True, return_inverse=True)
-        order = np.argsort(of, kind="stable")
-        self.times = np.bincount(of)
-        self.start, self.doc = start[order], doc[order]
-        self.length = length[first]
+        grid = _grid(block.data, start, count.astype(np.int64) + SPAN - 1)
+        _, first, self.of = np.unique(_rows(grid), return_index=True, return_inverse=True)
+        self.start, self.ids = start, block.ids[doc]
+        self.length = grid[first, -1]
         self.bytes = grid[first][:, :-1][np.arange(grid.shape[1] - 1) < self.length[:, None]]
+        self.least = np.full(len(first), LAST)
+        np.minimum.at(self.least, self.of, self.ids)
+
+    def gone(self, mask: np.ndarray) -> np.ndarray:
+        """Places of the strings that a smaller id has, by the bits of each distinct read's strings for its least id."""
+        every = ((1 << (self.length.astype(np.int64) - SPAN + 1)) - 1).astype(np.uint32)
+        mask = np.where(self.ids > self.least[self.of], every[self.of], mask[self.of])
+        out = []
+        for at in range(0, len(mask), 1 << 16):
+            read, step = np.nonzero((mask[at : at + (1 << 16), None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1))
+            out.append(self.start[at + read] + step)
+        return np.concatenate(out)
 
 
 def _grid(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -209,14 +251,9 @@ def transform(grid: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
         k = rank[row].astype(np.int64)
         new = reads + k - zeros
         # Common prefixes: 1 + the least between the entries before and after with the same symbol.
-        table = np.empty((len(lcp).bit_length(), len(lcp)), np.uint8)
-        table[0] = lcp
-        for h in range(1, len(table)):
-            n, half = len(lcp) - (1 << h) + 1, 1 << (h - 1)
-            np.minimum(table[h - 1, :n], table[h - 1, half : half + n], out=table[h, :n])
         before, after = order[np.maximum(k - 1, 0)], order[np.minimum(k + 1, len(order) - 1)]
-        up = _common(table, before, row, (k > 0) & (bwt[before] == symbol))
-        down = _common(table, row, after, (k + 1 < len(order)) & (bwt[after] == symbol))
+        up = _common(lcp, before, row, (k > 0) & (bwt[before] == symbol))
+        down = _common(lcp, row, after, (k + 1 < len(order)) & (bwt[after] == symbol))
         old = np.ones(len(bwt) + len(live), bool)
         old[new] = False
         wide = np.zeros(len(old), np.uint8)
@@ -244,16 +281,15 @@ def transform(grid: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return bwt, lcp, name
 
 
-def _common(table: np.ndarray, a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """1 + the least of the common prefixes of rows a + 1 to b, where `same`, else 0; at most 255. table[h, i]: least of 2^h from i."""
-    n = np.where(same, b - a, 1)
-    level = _LOG[n] if len(table) <= 16 else np.frexp(n.astype(np.float64))[1] - 1
-    first = np.minimum(a + 1, table.shape[1] - 1)
-    found = np.minimum(table[level, first], table[level, np.where(same, b + 1 - (1 << level), 0)])
-    return np.where(same, np.minimum(found, 254) + 1, 0).astype(np.uint8)
-
-
-_LOG = (np.frexp(np.arange(1 << 16).astype(np.float64))[1] - 1).clip(0)
+def _common(lcp: np.ndarray, a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """1 + the least of the common prefixes of rows a + 1 to b, where `same`, else 0; at most 255."""
+    out = np.zeros(len(a), np.uint8)
+    at = np.flatnonzero(same)
+    if len(at):
+        at = at[np.argsort(a[at], kind="stable")]  # in sequence
+        ends = np.stack([a[at] + 1, b[at] + 1], 1).ravel()
+        out[at] = np.minimum(np.minimum.reduceat(np.append(lcp, np.uint8(255)), ends)[::2], 254) + 1
+    return out
 
 
 def least_ids(grid: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -281,11 +317,6 @@ def _squeeze(values: np.ndarray | bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(values if isinstance(values, bytes) else np.ascontiguousarray(values).tobytes())
 
 
-def _spread(blobs: pa.ChunkedArray, kind) -> list[np.ndarray]:
-    undo = zstandard.ZstdDecompressor()
-    return [np.frombuffer(undo.decompress(x), kind) for x in blobs.to_pylist()]
-
-
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (b, id, text) as compressed tables, one for each block and PACK bytes: what is shuffled is small."""
     held, size = [], 0
@@ -330,14 +361,104 @@ def _long(five: np.ndarray) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _whole(blob: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+
+
+def _table(rows: list[dict], kinds: str) -> pa.Table:
+    types = {n: pa.int64() if t == "long" else pa.binary() for n, t in (x.split() for x in kinds.split(", "))}
+    return pa.table({n: pa.array([r[n] for r in rows], t) for n, t in types.items()})
+
+
+#: What goes from blocks to buckets and back, twice.
+ANCHORS, SHARED = "bucket long, b long, keys binary, marks binary", "b long, bucket long, keys binary, many binary"
+READS, GONE = "bucket long, b long, keys binary, many binary, bytes binary, length binary, least binary", "b long, bucket long, keys binary, many binary, mask binary"
+
+
+def _told(answer: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(bucket, short hashes, whether each is split), by bucket."""
+    out = []
+    for p, keys, many in zip(answer["bucket"].to_pylist(), answer["keys"].to_pylist(), answer["many"].to_pylist()):
+        k = _long(np.frombuffer(keys, np.uint8))
+        out.append((p, k, np.unpackbits(np.frombuffer(many, np.uint8))[: len(k)].astype(bool)))
+    return sorted(out, key=lambda x: x[0])
+
+
+def find_shared(t: pa.Table, most: int = SPLIT_READS) -> pa.Table:
+    """For each block of a bucket its anchors that two documents hold, and whether they are split."""
+    keys = [_long(np.frombuffer(x, np.uint8)) for x in t["keys"].to_pylist()]
+    flat, marks = np.concatenate(keys), np.concatenate([_whole(x, np.uint8) for x in t["marks"].to_pylist()])
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
+    count = np.diff(np.append(first, len(flat)))
+    hit, many = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+    hit[order] = np.repeat((count > 1) | (np.maximum.reduceat(marks[order], first) > 127), count)
+    many[order] = np.repeat(np.add.reduceat(1 << (marks[order] & 127).astype(np.int64), first) // 2 > most, count)
+    out, end = [], 0
+    for b, k in zip(t["b"].to_pylist(), keys):
+        mine = slice(end, end := end + len(k))
+        if (h := hit[mine]).any():
+            five = k[h].view(np.uint8).reshape(-1, 8)[:, :5]
+            out.append({"b": b, "bucket": t["bucket"][0].as_py(), "keys": five.tobytes(), "many": np.packbits(many[mine][h]).tobytes()})
+    return _table(out, SHARED)
+
+
+def compare(t: pa.Table) -> pa.Table:
+    """For each block of a bucket, bits of its distinct reads: which of their strings an id below the read's least there has."""
+    flat, length, own = (np.concatenate([_whole(x, k) for x in t[n].to_pylist()]) for n, k in (("bytes", np.uint8), ("length", np.uint8), ("least", np.int64)))
+    sizes = [len(_whole(x, np.uint8)) for x in t["length"].to_pylist()]
+    if not len(length):
+        return t.select(["b", "bucket", "keys", "many"]).append_column("mask", pa.array([_squeeze(b"")] * t.num_rows, pa.binary()))
+    length = length.astype(np.int64)
+    offset = np.cumsum(length) - length
+    # Equal reads, of whatever block, are one row; reads of one anchor stand together.
+    grid = _grid(flat + np.uint8(1), offset, length)  # UTF-8 never holds 0xFF
+    _, one, of = np.unique(_rows(grid), return_index=True, return_inverse=True)
+    grid, length = grid[one][:, :-1], length[one]
+    least = np.full(len(one), LAST)
+    np.minimum.at(least, of, own)
+    anchor = _anchor_of(grid)
+    order = np.argsort(anchor, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    first = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
+    cut = np.unique(first[np.searchsorted(first, np.arange(0, len(order), TOGETHER), "right") - 1])
+    entry = np.argsort(place[of], kind="stable")
+    bound = np.searchsorted(place[of][entry], np.append(cut, len(order)))
+    mask = np.zeros(len(of), np.uint32)
+    for i, rows in enumerate(np.split(order, cut[1:])):
+        found = least_ids(grid[rows], length[rows], least[rows])
+        mine = entry[bound[i] : bound[i + 1]]
+        smaller = found[place[of[mine]] - cut[i]] < own[mine, None]
+        mask[mine] = (smaller * (np.uint32(1) << np.arange(found.shape[1], dtype=np.uint32))).sum(1, dtype=np.uint32)
+    parts = np.split(mask, np.cumsum(sizes)[:-1])
+    return pa.table({n: t[n] for n in ("b", "bucket", "keys", "many")} | {"mask": pa.array([_squeeze(x) for x in parts], pa.binary())})
+
+
+def _anchor_of(grid: np.ndarray) -> np.ndarray:
+    """The anchor of each read's first string, of symbols that are one above their byte."""
+    out = np.empty(len(grid), np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(grid), 1 << 14):
+            part = np.ascontiguousarray(grid[at : at + (1 << 14), :SPAN] - np.uint8(1))
+            h = _rolling(part.ravel(), GRAM)
+            h = np.append(h, np.zeros(GRAM - 1, np.uint64)).reshape(len(part), SPAN)
+            out[at : at + (1 << 14)] = h[:, : SPAN - GRAM + 1].min(1)
+    return out
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_text: bool = False) -> DataFrame:
     """A row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, and with removed_text the bytes that are kept."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    if id_col in RESULT:
+        raise ValueError(f"a column called {id_col} is made here")
+    bounded_batches(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.count("*")).first()
-    # Anchors are about one in 13 bytes.
-    blocks = max(size[0] // BLOCK_BYTES, size[1] // 50_000) + 1
-    buckets = max(int(size[0] / 13 / BUCKET_HASHES), 11) + 1
+    row_bytes = ROW_HASHES * BYTES_A_HASH
+    block_bytes = max(BLOCK_BYTES, math.isqrt(size[0] * row_bytes))
+    blocks = max(size[0] // block_bytes, size[1] // max(block_bytes // 80, 1)) + 1
+    buckets = int(size[0] / max(BUCKET_HASHES * BYTES_A_HASH, size[0] * row_bytes / block_bytes)) + 1
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = SPLIT_READS
     kind = docs.schema[id_col].dataType.simpleString()
     id_type = arrow_type(kind)
     base = docs.select(
@@ -345,129 +466,55 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),
     )
-    by_block = base.mapInArrow(_pack, "b long, rows binary").groupBy("b")
-
-    def table(rows: list[dict], kinds: str) -> pa.Table:
-        types = {n: pa.int64() if t == "long" else pa.binary() for n, t in (x.split() for x in kinds.split(", "))}
-        return pa.table({n: pa.array([r[n] for r in rows], t) for n, t in types.items()})
-
-    ANCHORS, SHARED = "bucket long, b long, keys binary, twice binary", "b long, bucket long, keys binary, many binary"
-    READS, GONE = "bucket long, b long, bytes binary, length binary, times binary, start binary, ids binary, doc binary", "b long, start binary, mask binary"
+    # Partitions grow with the input, so no task's share does.
+    to_blocks = lambda df: df.repartition(max(blocks, least), "b").groupBy("b")
+    to_buckets = lambda df: df.repartition(max(buckets, least), "bucket").groupBy("bucket")
+    by_block = to_blocks(base.mapInArrow(_pack, "b long, rows binary"))
 
     def send_anchors(t: pa.Table) -> pa.Table:
-        rows = _unpack(t)
-        key, twice = Block(rows["id"], rows["text"]).shared_candidates()
+        key, marks = Block(_unpack(t)).candidates()
         order, parts = _by_bucket(key, buckets)
-        key, twice = key[order], twice[order]
-        b = t["b"][0].as_py()
-        return table([{"bucket": p, "b": b, "keys": _short(key[s:e], buckets).tobytes(), "twice": np.packbits(twice[s:e]).tobytes()} for p, s, e in parts], ANCHORS)
-
-    def find_shared(t: pa.Table) -> pa.Table:
-        keys = [_long(np.frombuffer(x, np.uint8)) for x in t["keys"].to_pylist()]
-        twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)] for x, k in zip(t["twice"].to_pylist(), keys)])
-        flat = np.concatenate(keys)
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
-        count = np.diff(np.append(first, len(flat)))
-        hit, many = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
-        hit[order] = np.repeat((count > 1) | (np.maximum.reduceat(twice[order], first) > 0), count)
-        many[order] = np.repeat(count > SPLIT_BLOCKS, count)
-        out, end = [], 0
-        for b, k in zip(t["b"].to_pylist(), keys):
-            mine = slice(end, end := end + len(k))
-            if (h := hit[mine]).any():
-                five = k[h].view(np.uint8).reshape(-1, 8)[:, :5]
-                out.append({"b": b, "bucket": t["bucket"][0].as_py(), "keys": five.tobytes(), "many": np.packbits(many[mine][h]).tobytes()})
-        return table(out, SHARED)
-
-    def send_reads(docs_: pa.Table, answer: pa.Table) -> pa.Table:
-        if not docs_.num_rows or not answer.num_rows:
-            return table([], READS)
-        rows, b = _unpack(docs_), docs_["b"][0].as_py()
-        block = Block(rows["id"], rows["text"])
-        short = [_long(np.frombuffer(x, np.uint8)) for x in answer["keys"].to_pylist()]
-        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)] for x, k in zip(answer["many"].to_pylist(), short)]).astype(bool)
-        # Back to whole keys: those of the block, by bucket and 40 bits.
-        own = np.unique(block.key)
-        tag = lambda bucket, five: (five * np.uint64(buckets)) + bucket
-        mine = tag(own % np.uint64(buckets), _long(np.ascontiguousarray(_short(own, buckets)).ravel()))
-        told = np.concatenate([tag(np.uint64(p), k) for p, k in zip(answer["bucket"].to_pylist(), short)])
-        order = np.argsort(told)
-        at = np.minimum(np.searchsorted(told[order], mine), len(told) - 1)
-        known = told[order][at] == mine
-        found = block.reads(own[known], many[order][at][known])
-        by, parts = _by_bucket(found[3], buckets)
+        key, marks, b = key[order], marks[order], t["b"][0].as_py()
+        return _table([{"bucket": p, "b": b, "keys": _short(key[s:e], buckets).tobytes(), "marks": _squeeze(marks[s:e])} for p, s, e in parts], ANCHORS)
+
+    def send_reads(rows: pa.Table, answer: pa.Table) -> pa.Table:
+        if not rows.num_rows or not answer.num_rows:
+            return _table([], READS)
+        b, told = rows["b"][0].as_py(), _told(answer)
+        said = dict(zip(answer["bucket"].to_pylist(), zip(answer["keys"].to_pylist(), answer["many"].to_pylist())))
         out = []
-        for p, s, e in parts:
-            r = Reads(block, *(x[by[s:e]] for x in found[:3]))
-            ids, doc = np.unique(block.ids[r.doc], return_inverse=True)
-            blobs = {"bytes": r.bytes, "length": r.length.astype(np.uint8), "times": r.times.astype(np.uint32), "start": r.start.astype(np.uint32), "ids": ids, "doc": doc.astype(np.uint32)}
-            out.append({"bucket": p, "b": b} | {k: _squeeze(v) for k, v in blobs.items()})
-        return table(out, READS)
-
-    def compare(t: pa.Table) -> pa.Table:
-        get = {n: _spread(t[n], k) for n, k in (("bytes", np.uint8), ("length", np.uint8), ("times", np.uint32), ("start", np.uint32), ("ids", np.int64), ("doc", np.uint32))}
-        flat, length, times = (np.concatenate(get[n]) for n in ("bytes", "length", "times"))
-        length, times = length.astype(np.int64), times.astype(np.int64)
-        offset = np.cumsum(length) - length
-        ids = np.concatenate([i[d] for i, d in zip(get["ids"], get["doc"])])
-        start = np.concatenate(get["start"])
-        block = np.repeat(np.arange(len(get["start"])), [len(x) for x in get["start"]])
-        # Equal reads, of whatever block, are one row; reads of one anchor stand together.
-        grid = _grid(flat + np.uint8(1), offset, length)  # UTF-8 never holds 0xFF
-        _, one, of = np.unique(_rows(grid), return_index=True, return_inverse=True)
-        read = np.repeat(of, times)  # of each occurrence
-        least = np.full(len(one), LAST)
-        np.minimum.at(least, read, ids)
-        anchor = anchors(flat)[offset[one]]
-        order = np.argsort(anchor, kind="stable")
-        new = np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])
-        size = np.diff(np.append(np.flatnonzero(new), len(order)))
-        # The only read of an anchor has nothing to be compared with: its strings are where it is.
-        found = np.where(np.arange(grid.shape[1] - SPAN) <= length[one][:, None] - SPAN, least[:, None], LAST)
-        several = order[np.repeat(size > 1, size)]
-        first = np.flatnonzero(new[np.repeat(size > 1, size)])
-        cut = first[np.searchsorted(first, np.arange(TOGETHER, len(several), TOGETHER))[np.arange(TOGETHER, len(several), TOGETHER) <= first[-1]]] if len(first) else []
-        for rows in np.split(several, np.unique(cut)):
-            if len(rows):
-                got = least_ids(grid[one[rows]][:, :-1], length[one[rows]], least[rows])
-                found[rows, : got.shape[1]] = got
-        mask = np.zeros(len(start), np.uint32)
-        bits = np.uint32(1) << np.arange(found.shape[1], dtype=np.uint32)
-        for at in range(0, len(read), 1 << 16):
-            r = read[at : at + (1 << 16)]
-            mask[at : at + (1 << 16)] = ((found[r] < ids[at : at + (1 << 16), None]) * bits).sum(1, dtype=np.uint32)
-        out = []
-        for i in np.unique(block[mask > 0]):
-            mine = (block == i) & (mask > 0)
-            out.append({"b": t["b"][int(i)].as_py(), "start": _squeeze(start[mine]), "mask": _squeeze(mask[mine])})
-        return table(out, GONE)
-
-    def take_out(docs_: pa.Table, answer: pa.Table) -> pa.Table:
-        if not docs_.num_rows:
+        for p, r in Block(_unpack(rows)).reads(told, buckets):
+            # Strings of a split anchor can go to a bucket that told nothing.
+            keys, many = said.pop(p, (b"", b""))
+            out.append({"bucket": p, "b": b, "keys": keys, "many": many, "bytes": _squeeze(r.bytes), "length": _squeeze(r.length), "least": _squeeze(r.least)})
+        # A bucket all of whose anchors here are split gets no read by them; the block must hear of them again.
+        none = dict.fromkeys(("bytes", "length", "least"), _squeeze(b""))
+        return _table(out + [{"bucket": p, "b": b, "keys": k, "many": m} | none for p, (k, m) in said.items()], READS)
+
+    def take_out(rows: pa.Table, answer: pa.Table) -> pa.Table:
+        if not rows.num_rows:
             return pa.table({"id": pa.array([], id_type)} | {k: pa.array([], t) for k, t in RESULT.items()})
-        rows = _unpack(docs_)
-        data, offsets = utf8(rows["text"])
-        marked = np.zeros(len(data) + 1, np.int32)
-        for start, mask in zip(_spread(answer["start"], np.uint32), _spread(answer["mask"], np.uint32)):
-            bit = (mask[:, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)
-            read, step = np.nonzero(bit)
-            begin = start[read].astype(np.int64) + step
-            np.add.at(marked, begin, 1)
-            np.add.at(marked, begin + SPAN, -1)
-        gone = np.cumsum(marked[:-1]) > 0
+        block = Block(_unpack(rows))
+        marked = np.zeros(len(block.data) + SPAN, np.int32)
+        if answer.num_rows:
+            bits = dict(zip(answer["bucket"].to_pylist(), answer["mask"].to_pylist()))
+            for p, r in block.reads(_told(answer), buckets):
+                begin = r.gone(_whole(bits[p], np.uint32))
+                np.add.at(marked, begin, 1)
+                np.add.at(marked, begin + SPAN, -1)
+        gone = np.cumsum(marked, out=marked)[: len(block.data)] > 0
         out: dict[str, list] = {k: [] for k in RESULT}
-        for s, e in zip(offsets[:-1], offsets[1:]):
-            cut, text = gone[s:e], data[s:e]
+        for s, e in zip(block.offsets[:-1], block.offsets[1:]):
+            cut, text = gone[s:e], block.data[s:e]
             kept = text[~cut].tobytes() if cut.any() else text.tobytes()
             spans = int(cut[0]) + int((cut[1:] & ~cut[:-1]).sum()) if len(cut) else 0
             for k, v in zip(out, (len(cut), int(cut.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if removed_text else b"")):
                 out[k].append(v)
-        return pa.table({"id": rows["id"]} | {k: pa.array(v, RESULT[k]) for k, v in out.items()})
+        return pa.table({"id": block.given} | {k: pa.array(v, RESULT[k]) for k, v in out.items()})
 
-    shared = by_block.applyInArrow(send_anchors, ANCHORS).groupBy("bucket").applyInArrow(find_shared, SHARED)
-    gone = by_block.cogroup(shared.groupBy("b")).applyInArrow(send_reads, READS).groupBy("bucket").applyInArrow(compare, GONE)
-    result = by_block.cogroup(gone.groupBy("b")).applyInArrow(take_out, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    shared = to_buckets(by_block.applyInArrow(send_anchors, ANCHORS)).applyInArrow(lambda t: find_shared(t, most), SHARED)
+    gone = to_buckets(by_block.cogroup(to_blocks(shared)).applyInArrow(send_reads, READS)).applyInArrow(compare, GONE)
+    result = by_block.cogroup(to_blocks(gone)).applyInArrow(take_out, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     result = result.withColumnRenamed("id", id_col)
     return result if removed_text else result.drop("kept")
 

@@ -1,7 +1,10 @@
 """Removed passages against a dictionary of all 50-byte strings; the transform against sorting."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -68,11 +71,13 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("block, bucket, split", [(4 << 20, 1 << 20, 48), (700, 50, 2), (2000, 200, 4)])
+@pytest.mark.parametrize("block, bucket, split", [(4 << 20, 1 << 20, 48), (700, 5, 1), (2000, 20, 4), (700, 1 << 20, 2)])
 def test_rows(spark, monkeypatch, block, bucket, split):
     monkeypatch.setattr(S, "BLOCK_BYTES", block)
     monkeypatch.setattr(S, "BUCKET_HASHES", bucket)
-    monkeypatch.setattr(S, "SPLIT_BLOCKS", split)
+    monkeypatch.setattr(S, "ROW_HASHES", 1)
+    monkeypatch.setattr(S, "SPLIT_READS", split)
+    monkeypatch.setattr(S, "CHUNK", 300)
     table = rows()
     docs = spark.createDataFrame([(d, t, 1) for d, t in table], "doc_id long, text string, n_bytes int").repartition(3)
     got = S.repeated_spans(docs, removed_text=True).collect()
@@ -81,5 +86,61 @@ def test_rows(spark, monkeypatch, block, bucket, split):
     assert all(hashlib.sha256(x["kept"]).hexdigest() == x["kept_sha256"] for x in got)
 
 
+def test_places_do_not_depend_on_the_order_of_rows():
+    table = [(d, t) for d, t in rows() if d is not None]
+    kinds = {"id": S.pa.int64(), "text": S.pa.string()}
+    make = lambda x: S.Block(S.pa.table({n: S.pa.array([r[i] for r in x], k) for i, (n, k) in enumerate(kinds.items())}))
+    first = make(table)
+    for seed in range(5):
+        random.Random(seed).shuffle(table)
+        other = make(table)
+        assert (first.data == other.data).all() and first.given.equals(other.given)
+        assert all((a == b).all() for a, b in zip(first.runs(), other.runs()))
+
+
+@pytest.mark.parametrize("chunk", [1, 77, 1 << 20])
+def test_runs_cover_all_strings(monkeypatch, chunk):
+    monkeypatch.setattr(S, "CHUNK", chunk)
+    table = [(d, t) for d, t in rows() if d is not None][-30:]
+    block = S.Block(S.pa.table({"id": S.pa.array([d for d, _ in table], S.pa.int64()), "text": S.pa.array([t for _, t in table], S.pa.string())}))
+    start, count, doc, key = block.runs()
+    found = sorted((int(d), int(s) + k - int(block.offsets[d])) for s, c, d in zip(start, count, doc) for k in range(c))
+    size = np.diff(block.offsets)
+    assert found == [(d, i) for d in range(len(size)) for i in range(max(size[d] - S.SPAN + 1, 0))]
+    assert (S.anchors(block.data)[start] == key).all()
+
+
+CLUSTER = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from cohortgeo.llm import suffix_dedup as S
+from cohortgeo.session import with_package
+import test_suffix_dedup as T
+spark = with_package(SparkSession.builder.master("local-cluster[3,1,1024]").config("spark.sql.shuffle.partitions", "6").config("spark.ui.enabled", "false")
+    .config("spark.executor.memory", "1g").config("spark.checkpoint.dir", {folder!r}).getOrCreate())
+S.BLOCK_BYTES, S.BUCKET_HASHES, S.ROW_HASHES = 4000, 100, 1
+table = T.rows() * 3
+table = [(d if d is None else d + 1000 * (i // len(T.rows())), t) for i, (d, t) in enumerate(table)]
+docs = spark.createDataFrame(table, "doc_id long, text string").repartition(12)
+key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+for _ in range(2):
+    got = sorted((tuple(x) for x in S.repeated_spans(docs).collect()), key=key)
+    want = sorted(T.plain(table), key=key)
+    assert got == want, sum(a != b for a, b in zip(got, want))
+print("equal")
+spark.stop()
+"""
+
+
+def test_several_executors(tmp_path):
+    """Shuffled rows come in another order from several executors than in local mode."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(os.path.dirname(here))
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([root, here])}
+    got = subprocess.run([sys.executable, "-c", CLUSTER.format(root=root, folder=str(tmp_path))], env=env, capture_output=True, text=True, timeout=600)
+    assert got.stdout.strip().endswith("equal"), got.stderr[-3000:]
+
+
 def test_empty(spark):
     assert S.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
