@@ -47,6 +47,8 @@ SPAN, GRAM = 50, 20
 BLOCK_BYTES, BUCKET_HASHES = 24 << 20, 1 << 20
 #: Rows from blocks to buckets are to hold so many hashes on average; blocks and buckets grow for it. An anchor is about BYTES_A_HASH bytes.
 ROW_HASHES, BYTES_A_HASH = 512, 13
+#: Bytes of text that a block or a bucket of a small input holds.
+SMALLEST = 1 << 20
 #: An anchor with so many distinct reads, summed over blocks, is split.
 SPLIT_READS = 1 << 16
 LAST = np.iinfo(np.int64).max
@@ -248,6 +250,8 @@ def transform(grid: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
         zeros = len(bwt) - int(np.count_nonzero(bwt))
         rank = np.empty(len(bwt), np.int32)
         rank[order] = np.arange(len(bwt), dtype=np.int32)
+        by = np.argsort(row, kind="stable")  # in sequence
+        live, row, symbol = live[by], row[by], symbol[by]
         k = rank[row].astype(np.int64)
         new = reads + k - zeros
         # Common prefixes: 1 + the least between the entries before and after with the same symbol.
@@ -286,7 +290,6 @@ def _common(lcp: np.ndarray, a: np.ndarray, b: np.ndarray, same: np.ndarray) ->
     out = np.zeros(len(a), np.uint8)
     at = np.flatnonzero(same)
     if len(at):
-        at = at[np.argsort(a[at], kind="stable")]  # in sequence
         ends = np.stack([a[at] + 1, b[at] + 1], 1).ravel()
         out[at] = np.minimum(np.minimum.reduceat(np.append(lcp, np.uint8(255)), ends)[::2], 254) + 1
     return out
@@ -455,9 +458,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.count("*")).first()
     row_bytes = ROW_HASHES * BYTES_A_HASH
     block_bytes = max(BLOCK_BYTES, math.isqrt(size[0] * row_bytes))
-    blocks = max(size[0] // block_bytes, size[1] // max(block_bytes // 80, 1)) + 1
-    buckets = int(size[0] / max(BUCKET_HASHES * BYTES_A_HASH, size[0] * row_bytes / block_bytes)) + 1
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = size[0] // min(SMALLEST, block_bytes)  # small inputs are dealt to all cores
+    blocks = max(size[0] // block_bytes, size[1] // max(block_bytes // 80, 1), min(small, least)) + 1
+    buckets = max(int(size[0] / max(BUCKET_HASHES * BYTES_A_HASH, size[0] * row_bytes / block_bytes)), min(small, 4 * least)) + 1
     most = SPLIT_READS
     kind = docs.schema[id_col].dataType.simpleString()
     id_type = arrow_type(kind)
