@@ -1,21 +1,31 @@
 """6. SimHash near-duplicates by deletion-variant signatures.
 
 Fingerprint: of all word shingles of a text (repeats included), bit j is 1 if it is set in over half of the shingles' XXH64 values.
-Fingerprints of at most four differing bits are linked. Cut into three segments, one segment of such a pair differs by at most one bit;
-so each distinct fingerprint is indexed under every segment with each one of its bits left out (64 keys), equal keys meet, and pairs are
-verified on all 64 bits. Copies share a fingerprint and are one entry of the index, whatever their number.
+Fingerprints of at most `bits` differing bits are linked. Cut into segments so few that one of such a pair differs by at most one bit
+(three of 64 for four bits), each distinct fingerprint is indexed under every segment as it is and under every variant with one of the
+segment's set bits deleted: of two segments that differ in one bit, the one with the bit set has a variant equal to the other as it is.
+Equal keys meet, and pairs of which one is as it is are verified on all bits. Copies share a fingerprint and are one entry of the
+index, whatever their number.
+
+Keys of one segment are shared by chance by more and more fingerprints as these grow in number. So from some millions on segments are cut
+finer and joined by twos or threes (10 pairs of 5, 20 triples of 6): of c segments together, out of bits + c - 1, some choice differs by
+at most one bit as well, and its key is longer. Links are the same with each of these covers; a test holds each against all pairs.
 
 Entries of a key meet in one Arrow partition, sorted. Short runs are compared in numpy; in a long run a breadth-first walk
 compares each newly linked entry with the entries not yet linked, so a dense group costs its size and not its square. Out come star
 edges (entry, smallest of its local component), at most one per entry and partition; components are then closed over all partitions.
-A key's run is bounded by the distinct fingerprints that agree in 20 bits, never by the number of documents.
+A key's run is bounded by the distinct fingerprints that agree in all bits but one of a key, never by the number of documents.
+
+`similar.py` makes wider fingerprints for shingles of a given similarity and joins them by the same index.
 
 Defined cases: a null or empty text, or one without a word, has fingerprint zero and is linked like any other; a text of one to three
-words is one shingle. Null ids take part; component_id is the smallest non-null id of the component. Repeated rows stay rows.
+words is one shingle. Null ids take part; component_id is the smallest non-null id of the component. Repeated rows stay rows. An empty
+table gives no row. Columns other than id and text aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +38,12 @@ from cohortgeo.operators.components import connected_components
 from cohortgeo.sources.shared import materialize
 
 WORDS, SEED, BITS = 4, 42, 4
-#: (first bit, bits) of the segments: with at most four differing bits, one has at most one of them.
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Texts are hashed in groups of so many shingles.
 GROUP = 1 << 18
 #: Runs of at most so many entries are compared pair by pair.
-SHORT_RUN = 32
+SHORT_RUN = 256
+#: Entries that fingerprints without likeness are to have in a key, on average and at most.
+BY_CHANCE = 32
 #: Index entries that one partition is meant to hold.
 ENTRIES = 2_000_000
 _SPACE = np.zeros(256, bool)
@@ -103,49 +113,78 @@ def fingerprint(docs: DataFrame, keep: list[str], text_col: str = "text", words:
     return map_batches(docs, keep, "fp long", work)
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x.view(np.uint64))
+def cover(n: int, bits: int = BITS, width: int = 64) -> list[np.ndarray]:
+    """Bit places of each key's segment, for `n` fingerprints of `width` bits: of two that differ by at most `bits`, some segment differs by
+    at most one."""
+    for joined in (1, 2, 3):
+        pieces = np.array_split(np.arange(width), bits // 2 + 1 if joined == 1 else bits + joined - 1)
+        found = [np.concatenate(c) for c in itertools.combinations(pieces, joined)]
+        short = min(map(len, found))
+        if n * (1 + short / 2) <= BY_CHANCE << short:
+            break
+    return found
+
+
+def entries(words: np.ndarray, segments: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(segment, key, as it is, row) of the index entries of fingerprints in the rows of `words`; a key is the segment's number and bits."""
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+    for s, places in enumerate(segments):
+        here = bits[:, places].astype(np.int64)
+        whole = (here << np.arange(len(places))).sum(1) | s << 48
+        row, place = np.nonzero(here)
+        key = np.concatenate([whole, whole[row] ^ (1 << place)])
+        yield s, key, np.arange(len(key)) < len(words), np.concatenate([np.arange(len(words)), row])
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of words."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def _walk(run: np.ndarray, bits: int) -> tuple[list, list]:
+def _walk(nodes: np.ndarray, words: np.ndarray, bits: int) -> tuple[list, list]:
     """Edges of a spanning forest of a long run."""
-    left, a, b = run, [], []
+    left, a, b = np.arange(len(nodes)), [], []
     while len(left) > 1:
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             x = todo.pop()
-            near = _popcount(left ^ x) <= bits
+            near = _differ(words[left], words[x]) <= bits
             found = left[near]
             if len(found):
-                a.append(np.full(len(found), x))
-                b.append(found)
+                a.append(np.full(len(found), nodes[x]))
+                b.append(nodes[found])
                 todo += found.tolist()
                 left = left[~near]
     return a, b
 
 
-def linked(keys: np.ndarray, fps: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Star edges (entry, smallest of its component) among entries that share a key and differ by at most `bits` bits."""
-    order = np.lexsort((fps, keys))
-    keys, fps = keys[order], fps[order]
+def linked(keys: np.ndarray, exact: np.ndarray, nodes: np.ndarray, words: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Star edges (node, smallest of its component) among entries that share a key, one of them as it is, and whose words differ by at
+    most `bits` bits."""
+    order = np.lexsort((nodes, ~exact, keys))
+    keys, exact, nodes, words = keys[order], exact[order], nodes[order], words[order]
     start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([start, [len(keys)]]))
     long = size > SHORT_RUN
     a, b = [], []
     for s, n in zip(start[long].tolist(), size[long].tolist()):
-        x, y = _walk(np.unique(fps[s : s + n]), bits)
+        _, one = np.unique(nodes[s : s + n], return_index=True)
+        x, y = _walk(nodes[s + one], words[s + one], bits)
         a += x
         b += y
-    short = np.repeat(~long, size)
-    keys, fps = keys[short], fps[short]
-    for d in range(1, min(SHORT_RUN, len(keys))):
-        same = keys[d:] == keys[:-d]
-        if not same.any():
+    left = np.flatnonzero(exact & np.repeat(~long & (size > 1), size))
+    stop = np.repeat(start + size, size)[left]
+    for d in range(1, SHORT_RUN):
+        more = left + d < stop
+        if not more.all():
+            left, stop = left[more], stop[more]
+        if not len(left):
             break
-        at = np.flatnonzero(same)
-        ok = _popcount(fps[at] ^ fps[at + d]) <= bits
-        a.append(fps[at[ok]])
-        b.append(fps[at[ok] + d])
+        for at in range(0, len(left), 1 << 18):
+            i = left[at : at + (1 << 18)]
+            ok = i[_differ(words[i], words[i + d]) <= bits]
+            a.append(nodes[ok])
+            b.append(nodes[ok + d])
     if not a:
         return np.zeros((0, 2), np.int64)
     pairs = np.stack([np.concatenate(a), np.concatenate(b)], 1)
@@ -166,28 +205,43 @@ def linked(keys: np.ndarray, fps: np.ndarray, bits: int = BITS) -> np.ndarray:
     return star[star[:, 0] != star[:, 1]]
 
 
-def links(distinct: DataFrame, n: int, bits: int = BITS) -> DataFrame:
-    """(u, v): star edges among `n` distinct fingerprints `fp`; their components are those of the links of at most `bits` bits."""
-    if bits != BITS:
-        raise ValueError(f"the segments are cut for {BITS} bits")
-    fp = F.col("fp")
-    keys = []
-    for first, width in SEGMENTS:
-        segment = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
-        for j in range(width):
-            # segment, bit left out and the other bits, in one long
-            keys.append(F.lit((first + j) << 24).bitwiseOR(segment.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << j)))))
-    parts = max(n * len(keys) // ENTRIES + 1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    index = distinct.select(fp, F.explode(F.array(*keys)).alias("key")).repartition(parts, "key")
+def join_index(distinct: DataFrame, n: int, segments: list[np.ndarray], checks: list[list[str]], bits: int) -> DataFrame:
+    """(u, v): star edges among the `n` distinct rows (node, words...): of each pair that meets in segment s the words checks[s] (as many for
+    each s) differ by at most `bits`."""
+    names = distinct.columns[1:]
+    takes = [[names.index(c) for c in check] for check in checks]
+    room = [f"c{k}" for k in range(len(takes[0]))]
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, words = b.column(0).to_numpy(), np.stack([c.to_numpy() for c in b.columns[1:]], 1)
+            for s, key, exact, row in entries(words, segments):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(exact), pa.array(node[row]), *(pa.array(words[row, k]) for k in takes[s])], names=["key", "exact", "node", *room]
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
         if got:
-            star = linked(np.concatenate([k for _, k in got]), np.concatenate([f for f, _ in got]))
+            key, exact, node, *words = (np.concatenate(x) for x in zip(*got))
+            del got
+            star = linked(key, exact, node, np.stack(words, 1).view(np.uint64), bits)  # popcounts want unsigned
             for at in range(0, len(star), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(star[at : at + 100_000, k]) for k in (0, 1)], names=["u", "v"])
+            pa.default_memory_pool().release_unused()
+
+    least = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(n * sum(1 + len(x) / 2 for x in segments)) // ENTRIES + 1, least)
+    kinds = ", ".join(f"{c} long" for c in room)
+    return distinct.mapInArrow(index, f"key long, exact boolean, node long, {kinds}").repartition(parts, "key").mapInArrow(run, "u long, v long")
 
-    return index.mapInArrow(run, "u long, v long")
+
+def links(distinct: DataFrame, n: int, bits: int = BITS) -> DataFrame:
+    """(u, v): star edges among `n` distinct fingerprints `fp`; their components are those of the links of at most `bits` bits."""
+    segments = cover(n, bits)
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = distinct.select("fp", F.col("fp").alias("word")).repartition(parts)
+    return join_index(rows, n, segments, [["word"]] * len(segments), bits)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:

@@ -65,12 +65,24 @@ def cluster(r):
     return sorted(set(out))
 
 
+def test_covers():
+    r = random.Random(3)
+    for n, joined in ((1000, 1), (10**7, 2), (10**9, 3)):
+        for bits in (2, 4, 5):
+            segments = S.cover(n, bits)
+            for _ in range(300):
+                x = sum(1 << j for j in r.sample(range(64), bits))
+                assert any(sum(x >> int(j) & 1 for j in places) <= 1 for places in segments)
+    assert [len(S.cover(n)) for n in (1000, 10**7, 10**9)] == [3, 10, 20]
+
+
 def test_links(spark, monkeypatch):
     fps = cluster(random.Random(2))
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    for run in (32, 2):  # long runs are walked, short ones compared
+    for run, n in ((256, len(fps)), (2, len(fps)), (256, 10**7), (256, 10**9)):  # long runs are walked, short ones compared; each cover
         monkeypatch.setattr(S, "SHORT_RUN", run)
-        found = S.links(spark.createDataFrame([(x,) for x in signed], "fp long"), len(fps)).collect()
+        monkeypatch.setattr(S, "ENTRIES", 10**12)
+        found = S.links(spark.createDataFrame([(x,) for x in signed], "fp long"), n).collect()
         for u, v in found:
             assert u != v
         parent = {x: x for x in signed}
@@ -91,6 +103,20 @@ def test_links(spark, monkeypatch):
         assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
 
 
+def test_long_and_short_runs_alike(monkeypatch):
+    r = np.random.default_rng(1)
+    fps = np.array(cluster(random.Random(7)), np.uint64)
+    parts = list(S.entries(fps[:, None], S.cover(len(fps))))
+    key, exact, row = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+    node = fps.view(np.int64)[row]
+    order = r.permutation(len(key))
+    stars = []
+    for run in (256, 2):
+        monkeypatch.setattr(S, "SHORT_RUN", run)
+        stars.append(S.linked(key[order], exact[order], node[order], fps[row][order][:, None]))
+    assert (stars[0] == stars[1]).all()
+
+
 def test_rows(spark):
     r = random.Random(4)
     words = [f"w{r.randrange(1000)}" for _ in range(300)]
