@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortgeo.llm import decontaminate, language_id, minhash, packing, pii
+from cohortgeo.llm import decontaminate, language_id, packing, pii, similar
 from cohortgeo.sources.shared import materialize
 
 #: A prediction of less is no prediction.
@@ -40,16 +40,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return t.back(kept.withColumn(t["lang"], F.coalesce(t["lang"], "lang_pred")))
 
 
+#: Marks of so many rows are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def _without(docs: DataFrame, marks: DataFrame, on: list, how: str) -> DataFrame:
+    """docs joined with the marks of rows, which are in the shared folder; no text leaves its place unless the marks are very many."""
+    return docs.join(F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks, on, how)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-duplicates share 0.8 or more of their shingles of five words. Of each group of them the document of the smallest id stays; of rows equal in id and text, one. Rows of one id and
     different texts stay together if any of them is the first of its group. Rows without an id stay if no document with an id is in a group
-    of theirs or of others without one; of equal ones among them, one."""
+    of theirs or of others without one; of equal ones among them, one. An empty table stays empty."""
     t = _Placed(docs)
     i = F.col(t["doc_id"])
-    marked = minhash.near_duplicates(t.docs, t["doc_id"], t["text"])
-    kept = marked.where(i.eqNullSafe(F.col("component_id"))).select(i.alias("__kept")).distinct()
-    left = t.docs.join(kept, i.eqNullSafe(F.col("__kept")), "left_semi")
-    return t.back(left.dropDuplicates([t["doc_id"], t["text"]]))
+    marked = materialize(similar.near_copies(t.docs, t["doc_id"], t["text"]).toDF("id", "mark", "component"))
+    first = marked.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("first")).distinct()
+    gone = materialize(marked.join(first, F.col("id").eqNullSafe(F.col("first")), "left_anti").select("id", "mark").distinct())
+    again = materialize(marked.groupBy("id", "mark").count().where("count > 1").select("id", "mark"))
+    rows = t.docs.withColumn("__mark", F.xxhash64(t["doc_id"], t["text"]))
+    same = [F.col("__mark") == F.col("mark"), i.eqNullSafe(F.col("id"))]
+    left = _without(rows, gone, same, "left_anti")
+    once = _without(left, again, same, "left_anti")
+    repeated = _without(left, again, same, "left_semi").dropDuplicates([t["doc_id"], t["text"]])
+    return t.back(once.unionByName(repeated))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
