@@ -21,6 +21,12 @@ def safe_relative_path(c: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def dataset_root(path: Column, name: str) -> Column:
+    """The nearest folder called `name` that a path lies in, or is; null if there is none."""
+    found = F.regexp_extract(path, rf"^((?:.*/)?\Q{name}\E)(?:/.*)?$", 1)
+    return F.when(found != "", found)
+
+
 def is_generic_label(c: Column) -> Column:
     """A label that says nothing: empty, before, after, pre, post, state 3, unknown, n/a. Null is the text None and isn't generic."""
     return F.coalesce(c.cast("string").rlike(r"(?i)^(before|after|pre|post|state[_ -]?\d+|unknown|n/?a)?$"), F.lit(False))

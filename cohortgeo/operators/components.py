@@ -2,16 +2,24 @@
 
 Alternating large-star / small-star contraction: each round only moves edges towards the smallest label of a neighbourhood, so the
 edge count never grows beyond its start, a hub of any degree is handled by a partial minimum, and the number of rounds is
-logarithmic in practice. Each round is written to the shared checkpoint folder, so a lost executor recomputes one round only.
+logarithmic in practice. Each round is written to the shared checkpoint folder, so a lost executor recomputes one round only;
+the round before is deleted then.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
 
-from cohortgeo.sources.shared import materialize
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation, functions as F, types as T
+
+from cohortgeo.sources.shared import discard, materialize
 
 MAX_ROUNDS = 60
+#: Edges that one task closes at once, without rounds over the cluster: a bound of its memory.
+AT_ONCE = 1_000_000
 
 
 def _afresh(least: DataFrame, *keys: str) -> DataFrame:
@@ -35,22 +43,56 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges as a table, and their number and an order-free sum of hashes, taken while they are written."""
+    seen = Observation()
+    out = materialize(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+    return out, seen.get
+
+
+def _closed(edges: DataFrame) -> DataFrame:
+    """(node, component) of few edges, in one task: the smallest label goes over edges, then over labels, until none changes."""
+    kind = edges.schema["u"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        if not found:
+            return
+        t = pa.Table.from_batches(found)
+        nodes = pc.unique(pa.chunked_array([*t["u"].chunks, *t["v"].chunks]))
+        nodes = nodes.take(pc.sort_indices(nodes))
+        a, b = (pc.index_in(t[c], value_set=nodes).to_numpy().astype(np.int64) for c in ("u", "v"))
+        label = np.arange(len(nodes))
+        while True:
+            old = label.copy()
+            least = np.minimum(label[a], label[b])
+            np.minimum.at(label, a, least)
+            np.minimum.at(label, b, least)
+            np.minimum.at(label, old, label)
+            label = label[label]
+            if (label == old).all():
+                break
+        yield pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(label))], names=["node", "component"])
+
+    return edges.repartition(1).mapInArrow(run, T.StructType([T.StructField("node", kind), T.StructField("component", kind)]))
+
+
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
     """(node, component) for every node of `edges`, component being the smallest node reachable.
 
+    Up to AT_ONCE edges are closed in one task, more by rounds over the cluster; the result is the same.
     Self loops and rows with a null end make no edge; repeated edges count once. Nodes without an edge do not appear. An empty table
     gives an empty result. Raises if MAX_ROUNDS is not enough, rather than return an unfinished labelling.
     """
     edges = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-    edges = materialize(edges)
-    before = edges.agg(F.count("*").alias("n"), mark).first()
-    if before["n"] == 0:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    edges, before = _written(edges)
+    if before["n"] <= AT_ONCE:
+        return _closed(edges)
     for _ in range(MAX_ROUNDS):
-        edges = materialize(_small_star(_large_star(edges)))
-        now = edges.agg(F.count("*").alias("n"), mark).first()
+        last = edges
+        edges, now = _written(_small_star(_large_star(last)))
+        discard(last)  # the new table stands by itself
         if now == before:
             roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

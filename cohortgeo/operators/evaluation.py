@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortgeo.functions import vectors as V
-from cohortgeo.operators.motion import running_count
+from cohortgeo.operators.motion import exact_quantiles, positions, running_count
+from cohortgeo.sources.shared import materialize
 
 #: Gallery rows and queries of one cell.
 CELL_ROWS, CELL_QUERIES = 20_000, 4_096
@@ -127,11 +128,12 @@ def ipf_weights(rows: DataFrame, a: str, b: str, rounds: int = 20) -> DataFrame:
 
 def shuffled_blocks(segments: DataFrame, strata: list[str], label: str, key: str, seed: int) -> DataFrame:
     """Labels permuted among the segments of each stratum; strata with one label only are left out. The permutation pairs the
-    stratum's order by a seeded hash with its order by key, as two ranks and one join: no stratum is collected."""
-    mixed = segments.groupBy(*strata).agg(F.count_distinct(label).alias("__n")).where("__n > 1").drop("__n")
+    stratum's order by a seeded hash with its order by key, as two places and one join: no task holds a stratum."""
+    mixed = segments.groupBy(*strata).agg(F.min(label).alias("__a"), F.max(label).alias("__b")).where("__a <> __b").select(*strata)
     rows = segments.join(mixed, strata)
-    by_key = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*strata).orderBy(key)))
-    by_hash = rows.select(*strata, F.col(label).alias("permuted"), F.row_number().over(Window.partitionBy(*strata).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)).alias("__r"))
+    by_key = positions(rows, strata, [F.col(key)], "__r")
+    mark = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string")))
+    by_hash = positions(rows.select(*strata, key, F.col(label).alias("permuted")), strata, [mark, F.col(key)], "__r").drop(key)
     return by_key.join(by_hash, [*strata, "__r"]).drop("__r")
 
 
@@ -150,7 +152,8 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
 def residual_ratio(rows: DataFrame, before: str, after: str) -> DataFrame:
     """Median and p95 of |after - before| / |before|."""
     a, b = V.doubles(F.col(before)), V.doubles(F.col(after))
-    return rows.select((V.distance(b, a) / V.norm(a)).alias("r")).agg(F.expr("percentile(r, array(0.5, 0.95))").alias("q")).select(F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"))
+    q = exact_quantiles(rows.select((V.distance(b, a) / V.norm(a)).alias("r")), [], "r", [0.5, 0.95])
+    return q.select(F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"))
 
 
 def pool_agreement(left: DataFrame, right: DataFrame, key: str, vector: str) -> DataFrame:
@@ -170,27 +173,26 @@ def fused(scores: dict[str, float]) -> Column:
 
 
 def redundancy_selection(rows: DataFrame, group: str, key: str, quality: str, vector: str, penalty: float, k: int) -> DataFrame:
-    """Of each group k rows, one by one, by quality less `penalty` times the greatest cosine to those taken; (.., rank, gain).
-    Sequential within a group by definition; groups are independent."""
-
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(key, kind="stable")
-        x = np.stack(frame[vector].to_numpy()).astype(float)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        score, near, taken, gains = frame[quality].to_numpy(float), np.full(len(x), -np.inf), [], []
-        free = np.ones(len(x), bool)
-        for _ in range(min(k, len(x))):
-            gain = np.where(free, score - penalty * np.where(np.isfinite(near), near, 0.0), -np.inf)
-            i = int(gain.argmax())
-            taken.append(i)
-            gains.append(gain[i])
-            free[i] = False
-            near = np.maximum(near, x @ x[i])
-        out = frame.iloc[taken][[group, key]].copy()
-        return out.assign(rank=np.arange(1, len(taken) + 1), gain=gains)
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select(group, key, quality, vector).groupBy(group).applyInPandas(pick, f"`{group}` {kinds[group]}, `{key}` {kinds[key]}, rank int, gain double")
+    """Of each group k rows, one by one, by quality less `penalty` times the greatest cosine to those taken; (.., rank, gain), ties to
+    the smaller key.
+
+    k rounds: the best row of each group is an aggregate, summed where rows stand, and goes back to its group's rows by a join, which
+    adaptive execution may split. Each round is a table in the shared folder. No task holds a group.
+    """
+    v = V.doubles(F.col(vector))
+    left = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(quality).cast("double").alias("q"), v.alias("x"), F.lit(0.0).alias("near"))
+    left, out = left.withColumn("x", V.l2_normalize(F.col("x"), V.norm(F.col("x")))), None
+    for rank in range(1, k + 1):
+        gain = F.col("q") - F.lit(penalty) * F.col("near")
+        best = materialize(left.groupBy("g").agg(F.min_by(F.struct("k", "x", gain.alias("gain")), F.struct((-gain).alias("a"), F.col("k").alias("b"))).alias("t")))
+        taken = best.select(F.col("g").alias(group), F.col("t.k").alias(key), F.lit(rank).alias("rank"), F.col("t.gain").alias("gain"))
+        out = taken if out is None else out.unionByName(taken)
+        if rank < k:
+            b = best.select(F.col("g").alias("__g"), F.col("t.k").alias("__k"), F.col("t.x").alias("__x"))
+            near = V.dot(F.col("x"), F.col("__x"))
+            rest = left.join(b, F.col("g").eqNullSafe(F.col("__g"))).where("k <> __k")
+            left = materialize(rest.select("g", "k", "q", "x", (near if rank == 1 else F.greatest("near", near)).alias("near")))
+    return out
 
 
 def gates(values: dict[str, tuple[float, str, float]], spark) -> DataFrame:

@@ -31,12 +31,10 @@ class MotionScaler:
 def scaler_table(frame: DataFrame, motion: str, floor: float | list[float] = 1e-6, constant_tolerance: float = 0.0) -> DataFrame:
     """A row per dimension: dim, median, iqr, span, denominator, active. Percentiles are exact, by linear interpolation."""
     long = frame.select(F.posexplode(V.doubles(F.col(motion))).alias("dim", "x"))
-    stats = long.groupBy("dim").agg(
-        F.expr("percentile(x, array(0.25, 0.5, 0.75))").alias("q"), (F.max("x") - F.min("x")).alias("span"), F.count("*").alias("n")
-    )
+    stats = exact_quantiles(long, ["dim"], "x", [0.25, 0.5, 0.75])
     floors = F.lit(float(floor)) if isinstance(floor, (int, float)) else F.array(*map(F.lit, floor))[F.col("dim")]
-    iqr = F.col("q")[2] - F.col("q")[0]
-    return stats.select("dim", F.col("q")[1].alias("median"), iqr.alias("iqr"), "span", F.greatest(iqr, floors).alias("denominator"), (F.col("span") > constant_tolerance).alias("active"), "n")
+    iqr, span = F.col("q")[2] - F.col("q")[0], F.col("most") - F.col("least")
+    return stats.select("dim", F.col("q")[1].alias("median"), iqr.alias("iqr"), span.alias("span"), F.greatest(iqr, floors).alias("denominator"), (span > constant_tolerance).alias("active"), "n")
 
 
 def fit_scaler(frame: DataFrame, motion: str, floor: float | list[float] = 1e-6, constant_tolerance: float = 0.0) -> MotionScaler:
@@ -92,17 +90,16 @@ def pair_violations(pairs: DataFrame, label: str = "label", pair: str = "pair_id
     )
 
 
-def coins(groups: list, replicates: int, seed: int) -> np.ndarray:
-    """[replicate, group] of fair coins, drawn over groups in order: one generator, so the same at each run."""
-    return np.random.default_rng(seed).integers(0, 2, (replicates, len(groups)))
+def coin(seed: int, replicate: Column, group: Column) -> Column:
+    """M6: whether a group's labels are swapped in a replicate: the first bit of the MD5 of seed, replicate and group."""
+    return F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), replicate.cast("string"), group.cast("string"))), 1, 1) < "8"
 
 
 def permute_roles(pairs: DataFrame, seed: int, replicate: Column | int = 0, label: str = "label", group: str = "dependency_group_id") -> DataFrame:
     """M6: a coin for each group (and replicate) flips all its labels. The coin is a hash of seed, replicate and group, so it is the same
     wherever the row is and no list of groups is ever needed."""
     which = F.lit(replicate) if isinstance(replicate, int) else replicate
-    coin = F.pmod(F.shiftright(F.xxhash64(F.lit(seed), which, F.col(group).cast("string")), 17), F.lit(2))
-    return pairs.withColumn("permuted", F.when(coin == 1, 1 - F.col(label)).otherwise(F.col(label)).cast("int"))
+    return pairs.withColumn("permuted", F.when(coin(seed, which, F.col(group)), 1 - F.col(label)).otherwise(F.col(label)).cast("int"))
 
 
 def auroc(frame: DataFrame, score: str, label: str) -> DataFrame:
@@ -128,17 +125,53 @@ def best_threshold(frame: DataFrame, score: str, label: str) -> DataFrame:
     return rates.select(F.struct((-accuracy).alias("loss"), F.col("s")).alias("r")).agg(F.min("r").alias("r")).select(F.col("r.s").alias("threshold"), (-F.col("r.loss")).alias("balanced_accuracy"))
 
 
-def running_count(counts: DataFrame, order: str, n: str) -> DataFrame:
-    """`before`: the sum of n over smaller values of `order` (distinct). Dealt by ranges; each range's total is a row, summed for all
+def running_count(counts: DataFrame, order: str, n: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """`before`: the sum of n over smaller values of `order` (distinct within `by`). Dealt by ranges; each range's total is a row, summed for all
     ranges before, so no window spans the whole table. Ranges come from a sample, so they are written down once and not made twice."""
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(counts.repartitionByRange(parts, order).withColumn("__p", F.spark_partition_id()))
-    totals = ranged.groupBy("__p").agg(F.sum(n).alias("__t"))
-    ahead = totals.withColumn("__a", F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).drop("__t")
-    inner = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.withColumn("__b", F.sum(n).over(inner)).join(F.broadcast(ahead), "__p").withColumn(
-        "before", F.coalesce("__a", F.lit(0)) + F.coalesce("__b", F.lit(0))
-    ).drop("__p", "__a", "__b")
+    ranged = materialize(counts.repartitionByRange(parts, *by, order).withColumn("__p", F.spark_partition_id()))
+    totals = ranged.groupBy(*by, "__p").agg(F.sum(n).alias("__t"))
+    ahead = totals.withColumn("__a", F.sum("__t").over(Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).drop("__t")
+    inner = Window.partitionBy(*by, "__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return _beside(ranged.withColumn("__b", F.sum(n).over(inner)), ahead, by).withColumn("before", F.coalesce("__a", F.lit(0)) + F.coalesce("__b", F.lit(0))).drop("__p", "__a", "__b")
+
+
+def _beside(rows: DataFrame, small: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """rows with what `small` says of their range (and `by`, null as a value): a row for each range if `by` is empty."""
+    if not by:
+        return rows.join(F.broadcast(small), "__p")
+    names = {c: f"__k{i}" for i, c in enumerate(by)}
+    right = small.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("__p").alias("__q"), "__a")
+    same = F.col("__p") == F.col("__q")
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return rows.join(right, same).drop(*names.values(), "__q")
+
+
+def positions(rows: DataFrame, by: list[str], order: list, out: str) -> DataFrame:
+    """`out`: the row's place (from 1) among the rows of its `by` in the given order, found by ranges: no task holds a whole `by`."""
+    named = rows.withColumns({f"__o{i}": o for i, o in enumerate(order)})
+    keys = [f"__o{i}" for i in range(len(order))]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(named.repartitionByRange(parts, *by, *keys).withColumn("__p", F.spark_partition_id()))
+    totals = ranged.groupBy(*by, "__p").agg(F.count("*").alias("__t"))
+    ahead = totals.withColumn("__a", F.sum("__t").over(Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).drop("__t")
+    inner = ranged.withColumn("__b", F.row_number().over(Window.partitionBy(*by, "__p").orderBy(*keys)))
+    return _beside(inner, ahead, tuple(by)).withColumn(out, F.coalesce("__a", F.lit(0)) + F.col("__b")).drop("__p", "__a", "__b", *keys)
+
+
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(by, q, n, least, most): exact percentiles by linear interpolation, from running counts of distinct values by ranges; nulls are left
+    out."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    placed = running_count(counts, value, "__n", tuple(by))
+    total = placed.groupBy(*by).agg(F.sum("__n").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
+    joined = placed.join(F.broadcast(total) if not by else total, by) if by else placed.crossJoin(F.broadcast(total))  # one row
+    at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("__n")), F.col(value)))
+    marks = [F.lit(float(s)) * (F.col("n") - 1) for s in shares]
+    ends = joined.groupBy(*by, "n", "least", "most").agg(*[at(F.floor(m)).alias(f"__l{i}") for i, m in enumerate(marks)], *[at(F.ceil(m)).alias(f"__h{i}") for i, m in enumerate(marks)])
+    q = F.array(*[F.col(f"__l{i}") + (m - F.floor(m)) * (F.col(f"__h{i}") - F.col(f"__l{i}")) for i, m in enumerate(marks)])
+    return ends.select(*by, q.alias("q"), "n", "least", "most")
 
 
 def kinematics(boxes: DataFrame, observation: str = "observation_id", frame: str = "frame", fps: str = "fps") -> DataFrame:

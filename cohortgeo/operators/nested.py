@@ -1,9 +1,7 @@
-"""Nested group means and cluster bootstrap."""
+"""Nested group means."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 GROUP, TRANSITION, ANCHOR = "dependency_group_id", "transition_id", "anchor_observation_id"
@@ -60,35 +58,3 @@ def require_rows(frame: DataFrame) -> DataFrame:
     if frame.isEmpty():
         raise ValueError("cannot estimate from zero rows")
     return frame
-
-
-def bootstrap_interval(groups: DataFrame, value: str, replicates: int = 1000, seed: int = 20260820, level: float = 0.95, key: str = GROUP) -> DataFrame:
-    """Estimate and percentile interval of the mean over whole dependency groups drawn with replacement.
-
-    Each group draws its own Poisson(1) multiplicity in every replicate, from a generator seeded by its key: replicates are weighted
-    sums, added up in the map tasks, so nothing but B sums leaves a partition and any number of groups is fine.
-    """
-
-    def sums(batches):
-        weighted, weight = np.zeros(replicates), np.zeros(replicates)
-        for frame in batches:
-            for mark, x in zip(frame["mark"], frame["x"]):
-                w = np.random.default_rng([seed, int(mark) & ((1 << 63) - 1)]).poisson(1.0, replicates)
-                weighted += w * x
-                weight += w
-        yield pd.DataFrame({"replicate": np.arange(replicates), "s": weighted, "w": weight})
-
-    rows = groups.select(F.xxhash64(F.col(key).cast("string")).alias("mark"), F.col(value).cast("double").alias("x")).where("x is not null")
-    draws = rows.mapInPandas(sums, "replicate int, s double, w double").groupBy("replicate").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
-    low = (1 - level) / 2
-    interval = draws.where("w > 0").agg(
-        F.expr(f"percentile(s / w, array({low}, {1 - low}))").alias("q"), F.count("*").alias("replicates")
-    )
-    return rows.agg(F.avg("x").alias("estimate"), F.count("*").alias("groups")).crossJoin(interval).select(
-        "estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "groups", "replicates"
-    )
-
-
-def non_inferior(interval: DataFrame, bound: float) -> DataFrame:
-    """Whether the interval's lower end is at or above the bound."""
-    return interval.withColumn("passes", F.col("low") >= bound)

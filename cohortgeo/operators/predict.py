@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortgeo.functions import vectors as V
+from cohortgeo.operators.linalg import Moments, map_vectors, moments, variances
 
 HORIZONS = (1, 2, 4, 8)
 #: Shortest segment that a predictor of eight past steps and the longest horizon can use.
@@ -66,5 +70,71 @@ def info_nce(pairs: DataFrame, query: str, logit: str, positive: str, temperatur
 
 def variance_hinge(rows: DataFrame, vector: str, gamma: float) -> DataFrame:
     """Mean over dimensions of max(0, gamma - standard deviation)."""
-    long = rows.select(F.posexplode(V.doubles(F.col(vector))).alias("d", "x"))
-    return long.groupBy("d").agg(F.stddev_pop("x").alias("s")).agg(F.avg(F.greatest(F.lit(0.0), F.lit(gamma) - F.col("s"))).alias("loss"), F.count("*").alias("dimensions"))
+    return variances(rows, [], vector).agg(F.avg(F.greatest(F.lit(0.0), F.lit(gamma) - F.sqrt("v"))).alias("loss"), F.count("*").alias("dimensions"))
+
+
+def covariance_loss(m: Moments) -> tuple[float, int]:
+    """The squared covariances of different dimensions, summed and divided by the number of dimensions; that number."""
+    c = m.covariance
+    return float((c**2).sum() - (np.diag(c) ** 2).sum()) / len(c), len(c)
+
+
+def identity_loss(rows: DataFrame, positive: str, negative: str, margin: float = 0.1) -> DataFrame:
+    """Mean of max(0, margin + distance to the same object - distance to another)."""
+    return rows.agg(F.avg(V.hinge(F.col(positive), F.col(negative), margin)).alias("loss"), F.count("*").alias("rows"))
+
+
+def cross_entropy(rows: DataFrame, probabilities: str, label: str) -> DataFrame:
+    """X19, the direction head's loss: mean of -log of the label's probability; labels are places in the array from 0, null ones are left
+    out."""
+    return rows.where(F.col(label).isNotNull()).agg(F.avg(-F.log(F.col(probabilities)[F.col(label).cast("int")])).alias("loss"), F.count("*").alias("rows"))
+
+
+@dataclass(frozen=True)
+class LinearAr:
+    """The next change of a sequence as a linear map of the last, with an offset."""
+
+    matrix: np.ndarray
+    offset: np.ndarray
+
+
+def _changes(rows: DataFrame, sequence: str, order: str, vector: str) -> DataFrame:
+    """Each row's vector `v`, the change `c` that led to it and the change `x` after it."""
+    w = Window.partitionBy(sequence).orderBy(order)
+    base = rows.select(sequence, order, V.doubles(F.col(vector)).alias("v"))
+    less = lambda a, b: F.zip_with(a, b, lambda p, q: p - q)
+    return base.withColumns({"c": less(F.col("v"), F.lag("v").over(w)), "x": less(F.lead("v").over(w), F.col("v"))})
+
+
+def fit_linear_ar(train: DataFrame, sequence: str, order: str, vector: str, penalty: float = 1e-6) -> LinearAr:
+    """Least squares of each next change on the last one, from one Gram matrix that tasks add up; `penalty` (a share of the mean square
+    of a coordinate) keeps it solvable where changes don't span the space."""
+    steps = _changes(train, sequence, order, vector).where("c is not null and x is not null").select(F.concat("c", "x", F.array(F.lit(1.0))).alias("z"))
+    m = moments(steps, "z")
+    if m.n < 2:
+        raise ValueError("a linear map needs two steps of three rows")
+    d = len(m.total) // 2
+    know = [*range(d), 2 * d]
+    gram = m.gram[np.ix_(know, know)]
+    ridge = np.diag([*[penalty * np.trace(gram[:d, :d]) / d] * d, 0.0])
+    found = np.linalg.solve(gram + ridge, m.gram[np.ix_(know, range(d, 2 * d))])
+    return LinearAr(found[:d].T, found[d])
+
+
+def linear_ar(rows: DataFrame, sequence: str, order: str, vector: str, model: LinearAr, horizons=HORIZONS) -> DataFrame:
+    """Per horizon h, the mean cosine of the row h places later to the row plus h predicted changes."""
+    told = map_vectors(_changes(rows, sequence, order, vector).where("c is not null").drop("x"), "c", _Step(model))
+    w = Window.partitionBy(sequence).orderBy(order)
+    ahead = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead("v", h).over(w).alias("u")) for h in horizons])
+    pairs = told.select("v", "c", ahead.alias("a")).select("v", "c", F.inline("a")).where("u is not null")
+    guess = F.zip_with("v", F.transform("c", lambda x: x * F.col("horizon")), lambda p, q: p + q)
+    made = pairs.select("horizon", "u", guess.alias("g"))
+    return made.groupBy("horizon").agg(F.avg(V.dot(F.col("g"), F.col("u")) / (V.norm(F.col("g")) * V.norm(F.col("u")))).alias("cosine"), F.count("*").alias("rows"))
+
+
+class _Step:
+    def __init__(self, model: LinearAr):
+        self.model = model
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.model.matrix.T + self.model.offset

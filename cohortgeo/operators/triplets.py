@@ -58,6 +58,9 @@ def candidate_triplets(obs: DataFrame, max_gap: float | None = 2.0) -> DataFrame
     )
 
 
-def eligibility(triplets: DataFrame, conditions: dict[str, str]) -> DataFrame:
-    """`eligible_base` is the conjunction of the named SQL conditions, null as false."""
-    return triplets.withColumn("eligible_base", F.expr(" and ".join(f"coalesce({c}, false)" for c in conditions.values())))
+def eligibility(triplets: DataFrame, base: dict[str, str], confirmatory: dict[str, str] | None = None) -> DataFrame:
+    """`eligible_base` is the conjunction of the named SQL conditions, null as false; `confirmatory_eligible` of these and of those of the
+    confirmatory analysis."""
+    every = lambda c: F.expr(" and ".join(f"coalesce({x}, false)" for x in c.values()) or "true")
+    out = triplets.withColumn("eligible_base", every(base))
+    return out if confirmatory is None else out.withColumn("confirmatory_eligible", F.col("eligible_base") & every(confirmatory))

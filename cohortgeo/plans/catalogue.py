@@ -2,44 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cohortgeo.functions import vectors as V
-from cohortgeo.operators import components, evaluation, linalg, motion, nested, phases, pooling, predict, segments, splits, training, triplets, validation
+from cohortgeo.operators import components, evaluation, inference, linalg, motion, nested, phases, pooling, predict, segments, splits, training, triplets, validation
 from cohortgeo.plans import fixtures as X
+from cohortgeo.plans.registry import oracle_sql, queries, query, r9  # noqa: F401
 from cohortgeo.sources import release, store
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers the function under its name, with its SQL."""
-
-    def put(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def r9(c) -> F.Column:
-    """Nine digits, without -0.0."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 9) + F.lit(0.0)
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 # ---- vectors and triplets
 
 
@@ -117,7 +87,7 @@ def margin_triplet_loss_grid(spark, sf_dir):
 @query()
 def bootstrap_ci(spark, sf_dir):
     groups = nested.group_means(X.distances(spark, sf_dir), {"sns": _score()})
-    return nested.bootstrap_interval(groups, "sns", 500)
+    return inference.group_bootstrap(groups, "sns", 500)
 
 
 # ---- motion
@@ -201,11 +171,6 @@ def role_permutation_pairs_valid(spark, sf_dir):
     return p.agg(F.count("*").alias("rows"), F.count_distinct("pair_id").alias("pairs")).crossJoin(bad)  # one row each
 
 
-@query()
-def role_permutation(spark, sf_dir):
-    return motion.permute_roles(_role_pairs(spark, sf_dir), seed=3).groupBy("dependency_group_id").agg(F.count_if(F.col("permuted") != F.col("label")).alias("flipped"), F.count("*").alias("rows"))
-
-
 @query(
     f"""with {X.DIST}, p as (select 0 y, d_n d from dist union all select 1, d_s from dist),
 k as (select y, rank() over (order by d) + (count(*) over (partition by d) - 1) / 2.0 r from p)
@@ -599,25 +564,28 @@ def pool_agreement(spark, sf_dir):
     return evaluation.pool_agreement(f, moved, "vec_id", "v").withColumn("mean_cosine", r9("mean_cosine"))
 
 
-@query()
+def _redundancy_sql() -> str:
+    steps = [f"{X.FEAT}, t1 as (select label, observation_id id, (observation_id % 13) / 13.0::double q, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) v, 0.0::double near from feat)"]
+    for k in range(1, 6):
+        steps.append(f"b{k} as materialized (select label, id, v, q - 0.5 * near gain from t{k} qualify row_number() over (partition by label order by q - 0.5 * near desc, id) = 1)")
+        near = "list_inner_product(t.v, b.v)"
+        steps.append(f"t{k + 1} as materialized (select t.label, t.id, q, t.v, {near if k == 1 else f'greatest(near, {near})'} near from t{k} t join b{k} b using (label) where t.id <> b.id)")
+    return f"with {', '.join(steps)} " + " union all ".join(f"select label, id vec_id, {k} as rank, round(gain, 9) + 0.0 gain from b{k}" for k in range(1, 6))
+
+
+@query(_redundancy_sql())
 def redundancy_selection(spark, sf_dir):
     e = X.table(spark, sf_dir, "embeddings").withColumn("quality", (F.col("vec_id") % 13) / 13.0)
-    return evaluation.redundancy_selection(e, "label", "vec_id", "quality", "embedding", 0.5, 5)
+    return evaluation.redundancy_selection(e, "label", "vec_id", "quality", "embedding", 0.5, 5).withColumn("gain", r9("gain"))
 
 
 @query(
-    f"""with {_RUNS}, o as (select sequence_id || '_' || run_index id, sequence_id obj, label y, start s, "end" e, (start + "end") / 2.0 mid from runs where run_index < 12)
+    f"""with {_RUNS}, o as (select sequence_id || '_' || run_index id, sequence_id obj, label y, start s, "end" e, (start + "end") / 2.0 mid from runs)
 select a.obj::varchar physical_object_id, a.id anchor_observation_id, n.id nuisance_observation_id, s.id state_observation_id, round(abs(abs(a.mid - n.mid) - abs(a.mid - s.mid)), 6) gap_mismatch
 from o a join o n on a.obj = n.obj and a.id <> n.id and a.y = n.y and (a.e < n.s or n.e < a.s) join o s on a.obj = s.obj and a.y <> s.y and (a.e < s.s or s.e < a.s)
 where (n.e < s.s or s.e < n.s) and abs(abs(a.mid - n.mid) - abs(a.mid - s.mid)) <= 2"""
 )
 def candidate_triplets(spark, sf_dir):
-    """Over the first twelve segments of each track, as its SQL; candidate_triplets_whole takes all."""
-    return _candidate_triplets(segments.label_runs(X.frames(spark, sf_dir)).where("run_index < 12"))
-
-
-@query()
-def candidate_triplets_whole(spark, sf_dir):
     return _candidate_triplets(segments.label_runs(X.frames(spark, sf_dir)))
 
 
@@ -631,12 +599,6 @@ def _candidate_triplets(runs):
     return run(o).withColumn("gap_mismatch", F.round("gap_mismatch", 6))
 
 
-@query()
-def gate_ladder(spark, sf_dir):
-    d = nested.nested_mean(X.distances(spark, sf_dir), {"sns": _score()}).first()
-    return evaluation.gates({"sns_headroom": (d["sns"], "<", 0.9), "coverage": (1.0, ">=", 0.5)}, spark)
-
-
 # ---- predictors, reports and losses
 
 
@@ -718,17 +680,16 @@ def regime_table(spark, sf_dir):
     return d.select("doc_id", evaluation.regime((F.col("n_chars") % 100) / 100.0, (F.col("doc_id") % 10) / 10.0).alias("regime"))
 
 
-@query()
+@query(
+    """with k as (select source, doc_id, lang, row_number() over (partition by source order by doc_id) r, row_number() over (partition by source order by md5('5-' || doc_id), doc_id) h,
+min(lang) over (partition by source) a, max(lang) over (partition by source) b from documents where source is not null)
+select x.doc_id, x.lang, y.lang permuted from k x join k y on y.source = x.source and y.h = x.r where x.a <> x.b"""
+)
 def shuffled_label_blocks(spark, sf_dir):
     d = X.table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     return evaluation.shuffled_blocks(d, ["source"], "lang", "doc_id", 5).select("doc_id", "lang", "permuted")
 
 
-@query()
-def ipf_weights(spark, sf_dir):
-    return evaluation.ipf_weights(X.table(spark, sf_dir, "documents").select("source", "lang"), "source", "lang")
-
-
 @query(
     f"""with {X.DIST}, p as (select 0 y, d_n d from dist union all select 1, d_s from dist), t as (select d, (select count(*) filter (y = 1 and p.d >= q.d) from p) tp, (select count(*) filter (y = 0 and p.d < q.d) from p) tn from (select distinct d from p) q),
 n as (select count(*) filter (y = 1) p, count(*) filter (y = 0) n from p)

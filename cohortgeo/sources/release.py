@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -90,3 +91,31 @@ def resolve_component(selected: bool, skipped: bool) -> bool:
     if selected == skipped:
         raise ValueError("exactly one of selected and skipped must hold")
     return selected
+
+
+def freeze_selection(path: str | Path, selection: dict, components: dict[str, tuple[bool, bool]]) -> dict:
+    """Writes what validation has chosen, once: which optional components are selected, and a digest of it all. Driver only."""
+    if Path(path).exists():
+        raise FileExistsError("a selection is frozen already")
+    body = {"selection": selection, "components": {n: resolve_component(*c) for n, c in sorted(components.items())}}
+    record = {**body, "digest": hash_json(body)}
+    write_json(path, record)
+    return record
+
+
+def locked_evaluation(frozen: str | Path, out: str | Path, marker: str | Path, completion: str | Path, evaluate) -> dict:
+    """One evaluation of a frozen selection. A selection that was changed raises before the marker is made; the marker is made before
+    `evaluate(folder)` first runs and stays whatever follows; its files stand in a temporary sibling folder until all are there, and the
+    folder is then renamed. Driver only."""
+    record = json.loads(Path(frozen).read_text(encoding="utf-8"))
+    if hash_json({k: v for k, v in record.items() if k != "digest"}) != record["digest"]:
+        raise RuntimeError("the frozen selection was changed")
+    out = Path(out)
+    if out.exists():
+        raise FileExistsError(f"{out} is there already")
+    begin_test_access(marker, {"selection": record["digest"]})
+    out.parent.mkdir(parents=True, exist_ok=True)
+    part = Path(tempfile.mkdtemp(prefix=f".{out.name}.", dir=out.parent))
+    result = evaluate(part)
+    os.rename(part, out)
+    return complete_test_access(marker, completion, result)

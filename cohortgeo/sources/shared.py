@@ -23,11 +23,20 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """`df`, written as Parquet to the shared folder and read back: lineage is cut and no lost executor can lose it.
 
-    The files go when the driver's JVM ends.
+    The files go when the driver's JVM ends, or by discard().
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cohortgeo-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialised table that nothing reads any more."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -7,15 +7,23 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortgeo.functions.predicates import is_finite
+from cohortgeo.sources.shared import materialize
 
 CATALOG = "feature_key string, run_id string, pool string, layer int, control string, subset string, features_path string, features_digest string, rows long, dimension int"
 
 
+def _row_digest() -> Column:
+    return F.sha2(F.concat_ws("|", F.col("row_index").cast("string"), "observation_id", "pool", F.to_json("features")), 256)
+
+
+def _share(row: Column, start: int) -> Column:
+    return F.conv(F.substring(row, start, 15), 16, 10).cast("decimal(20,0)")
+
+
 def content_digest(features: DataFrame) -> str:
     """Digest of a run's rows, the same for any order and partitioning: the sum of a 128-bit share of each row's SHA-256 and the count."""
-    row = F.sha2(F.concat_ws("|", F.col("row_index").cast("string"), "observation_id", "pool", F.to_json("features")), 256)
-    share = lambda a: F.conv(F.substring(row, a, 15), 16, 10).cast("decimal(20,0)")
-    r = features.agg(F.count("*").alias("n"), F.sum(share(1)).alias("a"), F.sum(share(16)).alias("b")).first()
+    row = _row_digest()
+    r = features.agg(F.count("*").alias("n"), F.sum(_share(row, 1)).alias("a"), F.sum(_share(row, 16)).alias("b")).first()
     return f"{r['n']}-{r['a'] or 0}-{r['b'] or 0}"
 
 
@@ -100,16 +108,34 @@ def load_feature(spark: SparkSession, catalog: str, key: str) -> DataFrame:
     return found
 
 
-def sanity(spark: SparkSession, catalog: str) -> list[dict]:
-    """For each key of the catalog, whether it loads, and why not."""
-    out = []
-    for r in read_catalog(spark, catalog).orderBy("feature_key").toLocalIterator():  # a row per run and pool
-        try:
-            load_feature(spark, catalog, r["feature_key"])
-            out.append({"feature_key": r["feature_key"], "ok": True, "error": None})
-        except (RuntimeError, KeyError) as e:
-            out.append({"feature_key": r["feature_key"], "ok": False, "error": str(e)})
-    return out
+def sanity(spark: SparkSession, catalog: str) -> DataFrame:
+    """(feature_key, ok, error) of each key of the catalog: whether its rows are there, as many, as wide and of the digest that the
+    catalog says. One plan reads all runs once; a key that stands twice is an error of each."""
+    rows = materialize(read_catalog(spark, catalog))
+    paths = [r["features_path"] for r in rows.select("features_path").distinct().collect()]  # a row for each run
+    seen = None
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            run = load_path(spark, path).withColumn("features_path", F.lit(path))
+            seen = run if seen is None else seen.unionByName(run)
+    if seen is None:
+        found = rows.withColumns({"found": F.lit(None).cast("string"), "n": F.lit(None).cast("long"), "low": F.lit(None).cast("int"), "high": F.lit(None).cast("int")})
+    else:
+        row, share = _row_digest(), _share
+        sums = seen.groupBy("features_path", "pool").agg(
+            F.count("*").alias("n"), F.sum(share(row, 1)).alias("a"), F.sum(share(row, 16)).alias("b"), F.min(F.size("features")).alias("low"), F.max(F.size("features")).alias("high")
+        )
+        digest = F.concat_ws("-", F.col("n").cast("string"), F.coalesce(F.col("a"), F.lit(0)).cast("string"), F.coalesce(F.col("b"), F.lit(0)).cast("string"))
+        found = rows.join(sums.withColumn("found", digest), ["features_path", "pool"], "left")
+    times = rows.groupBy("feature_key").agg(F.count("*").alias("times"))
+    error = (
+        F.when(F.col("times") > 1, "feature key must resolve exactly once")
+        .when(F.col("found").isNull(), "no rows")
+        .when(F.col("found") != F.col("features_digest"), "feature content doesn't match its digest")
+        .when((F.col("n") != F.col("rows")) | (F.col("low") != F.col("dimension")) | (F.col("high") != F.col("dimension")), "feature shape doesn't match the catalog")
+    )
+    return found.join(times, "feature_key").select("feature_key", error.isNull().alias("ok"), error.alias("error"))
 
 
 def new_run_id() -> str:

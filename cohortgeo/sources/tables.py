@@ -24,9 +24,9 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unsupported table type: {path}")
 
 
-def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Images (of a repeated id the last stands) and annotations with valid polygon components."""
-    doc = spark.read.schema(COCO).json(path, multiLine=True)
+def read_coco(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Images (of a repeated id the last stands) and annotations with valid polygon components. lines: a document on each line."""
+    doc = spark.read.schema(COCO).json(path, multiLine=not lines)
     images = doc.select(F.posexplode("images").alias("pos", "i")).select("pos", "i.*")
     last = Window.partitionBy("id").orderBy(F.desc("pos"))
     images = images.withColumn("r", F.row_number().over(last)).where("r = 1").drop("r", "pos")
@@ -42,10 +42,10 @@ def polygons(text: Column) -> Column:
     return valid_polygons(F.coalesce(nested, F.when(flat.isNotNull() & ~F.exists(flat, lambda c: c.isNull()), F.array(flat)), F.array().cast("array<array<double>>")))
 
 
-def coco_summary(spark: SparkSession, path: str) -> DataFrame:
+def coco_summary(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """S3: one row of counts: images, annotations, categories, annotations without image, bad boxes, bad components and annotations
     that have components but no valid one."""
-    doc = spark.read.schema(COCO).json(path, multiLine=True)
+    doc = spark.read.schema(COCO).json(path, multiLine=not lines)
     images = doc.select(F.explode("images.id").alias("id"))
     a = doc.select(F.explode("annotations").alias("a")).select("a.*")
     raw = F.from_json("segmentation", "array<string>")

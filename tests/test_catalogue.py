@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from cohortgeo.plans import catalogue
+from cohortgeo.plans import catalogue, protocols  # noqa: F401  (both register their queries)
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables aren't here")

@@ -1,5 +1,6 @@
 """Literal cases of the engine's operators."""
 
+import hashlib
 import math
 import random
 import struct
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import PySparkException
 
 from cohortgeo.functions import boxes as B, hashing, predicates as P, vectors as V
-from cohortgeo.operators import components, evaluation, linalg, motion, nested, phases, pooling, segments, splits, triplets, validation
+from cohortgeo.operators import components, evaluation, inference, linalg, motion, nested, phases, pooling, predict, relations, segments, splits, triplets, validation
 
 
 def frame(spark, rows, schema):
@@ -81,12 +82,110 @@ def test_scores(spark):
 def test_bootstrap_covers_and_repeats(spark):
     rows = [(f"g{i}", float(i % 2)) for i in range(200)]
     f = frame(spark, rows, "dependency_group_id string, x double")
-    r = nested.bootstrap_interval(f, "x", 300).first()
+    r = inference.group_bootstrap(f, "x", 300).first()
     assert r["estimate"] == 0.5 and r["low"] < 0.5 < r["high"] and 0.05 < r["high"] - r["low"] < 0.25
-    again = nested.bootstrap_interval(f.repartition(5), "x", 300).first()
+    again = inference.group_bootstrap(f.repartition(5), "x", 300).first()
     assert (again["low"], again["high"]) == (pytest.approx(r["low"]), pytest.approx(r["high"]))
 
 
+@pytest.mark.parametrize("bucket", [7, 100_000])
+def test_bootstrap_draws_whole_groups(spark, monkeypatch, bucket):
+    monkeypatch.setattr(inference, "GROUPS_A_TASK", bucket)
+    x = np.random.default_rng(3).gamma(1.0, 2.0, 90)
+    f = frame(spark, [(f"g{i}", float(v)) for i, v in enumerate(x)] + [("null", None)], "dependency_group_id string, x double")
+    r = inference.group_bootstrap(f, "x", 4000).first()
+    means = np.random.default_rng(4).choice(x, (4000, 90)).mean(1)
+    low, high = np.percentile(means, [2.5, 97.5])
+    assert r["groups"] == 90 and r["low"] == pytest.approx(low, abs=0.06) and r["high"] == pytest.approx(high, abs=0.06)
+    one = inference.group_bootstrap(frame(spark, [("a", 2.0)], "dependency_group_id string, x double"), "x", 10).first()
+    assert (one["low"], one["high"]) == (2.0, 2.0)
+    gate = inference.paired_gate(f, f.withColumn("x", F.col("x") + 1), "x", 0.5, replicates=50).first()
+    assert gate["passes"] and gate["low"] == pytest.approx(1.0)
+
+
+def test_permutation_test(spark):
+    r = np.random.default_rng(8)
+    rows = [(f"g{g}", y, round(float(r.normal(0.4 * y)), 1)) for g in range(12) for _ in range(3) for y in (0, 1)]
+    got = inference.permutation_test(frame(spark, rows, "dependency_group_id string, label int, s double"), "s", replicates=49, seed=5).first()
+
+    def auroc(labels):
+        pos, neg = [x[2] for x, y in zip(rows, labels) if y], [x[2] for x, y in zip(rows, labels) if not y]
+        return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+
+    seen = auroc([y for _, y, _ in rows])
+    null = [auroc([1 - y if hashlib.md5(f"5-{b}-{g}".encode()).hexdigest()[0] < "8" else y for g, y, _ in rows]) for b in range(1, 50)]
+    assert got["auroc"] == pytest.approx(seen) and got["at_least"] == sum(a >= seen - 1e-12 for a in null)
+    assert got["p_value"] == pytest.approx((got["at_least"] + 1) / 50)
+
+
+def test_role_model_tells_roles_that_differ(spark):
+    r = np.random.default_rng(9)
+    rows = [([float(v) for v in a], [float(v) for v in a + r.normal(0, 0.1, 2) + 2 * y], y) for a in r.normal(size=(60, 2)) for y in (0, 1)]
+    f = frame(spark, rows, "a array<double>, b array<double>, label int")
+    assert motion.auroc(inference.role_model(f, f, "a", "b"), "probability", "label").first()["auroc"] > 0.99
+
+
+def test_quantiles_and_positions(spark):
+    r = np.random.default_rng(10)
+    rows = [(k, float(v)) for k in ("a", "b", None) for v in r.integers(0, 9, 40)] + [("c", 4.0), ("a", None)]
+    f = frame(spark, rows, "k string, x double").repartition(5)
+    for q in motion.exact_quantiles(f, ["k"], "x", [0.0, 0.3, 0.5, 1.0]).collect():
+        x = [v for k, v in rows if k == q["k"] and v is not None]
+        assert q["q"] == pytest.approx(np.quantile(x, [0.0, 0.3, 0.5, 1.0]).tolist()) and (q["n"], q["least"], q["most"]) == (len(x), min(x), max(x))
+    whole = motion.exact_quantiles(f, [], "x", [0.25]).first()
+    assert whole["q"][0] == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.25))
+    ids = frame(spark, [(k % 3, k) for k in range(50)], "g long, i long")
+    got = {(x["g"], x["i"]): x["p"] for x in motion.positions(ids, ["g"], [-F.col("i")], "p").collect()}
+    for g in range(3):
+        assert [got[g, i] for i in sorted((i for i in range(50) if i % 3 == g), reverse=True)] == list(range(1, len([i for i in range(50) if i % 3 == g]) + 1))
+
+
+def test_linear_ar_finds_a_linear_map(spark):
+    r = np.random.default_rng(11)
+    a, rows = np.array([[0.9, 0.2], [-0.3, 0.8]]), []
+    for s in range(6):
+        v, c = r.normal(size=2), r.normal(size=2)
+        for t in range(12):
+            rows.append((s, t, v.tolist()))
+            v, c = v + c, a @ c + np.array([0.1, -0.2])
+    f = frame(spark, rows, "s long, t long, v array<double>")
+    m = predict.fit_linear_ar(f, "s", "t", "v", penalty=1e-12)
+    assert np.allclose(m.matrix, a, atol=1e-6) and np.allclose(m.offset, [0.1, -0.2], atol=1e-6)
+    got = {x["horizon"]: x["cosine"] for x in predict.linear_ar(f, "s", "t", "v", m).collect()}
+    assert got[1] == pytest.approx(1.0) and set(got) == {1, 2, 4, 8}
+
+
+def test_losses(spark):
+    x = np.random.default_rng(12).normal(size=(30, 4)) + 100
+    f = vectors(spark, x)
+    c = np.cov(x.T, ddof=0)
+    loss, d = predict.covariance_loss(linalg.moments(f, "v"))
+    assert d == 4 and loss == pytest.approx((c**2).sum() / 4 - (np.diag(c) ** 2).sum() / 4)
+    assert predict.variance_hinge(f, "v", 1.1).first()["loss"] == pytest.approx(np.maximum(0, 1.1 - x.std(0)).mean())
+    z = frame(spark, [([0.25, 0.75], 1), ([0.5, 0.5], 0), ([0.1, 0.9], None)], "z array<double>, y int")
+    assert predict.cross_entropy(z, "z", "y").first()["loss"] == pytest.approx(-(math.log(0.75) + math.log(0.5)) / 2)
+
+
+def test_relations(spark):
+    a, b = frame(spark, [(1, "x"), (2, "y"), (3, "z")], "k long, a string"), frame(spark, [(2, 5), (3, 6), (4, 7)], "k long, b int")
+    assert sorted(tuple(r) for r in relations.one_to_one({"a": a, "b": b}, "k").collect()) == [(2, "y", 5), (3, "z", 6)]
+    for bad in (a.unionByName(a), a.unionByName(frame(spark, [(None, "n")], a.schema))):
+        with pytest.raises(validation.ManifestError, match="of left"):
+            relations.one_to_one({"left": bad, "b": b}, "k")
+    names = frame(spark, [("a/f10.jpg",), ("a/f2.jpg",), ("f10b.jpg",), ("none.jpg",), ("f007",)], "path string")
+    assert {r["path"]: r["position"] for r in relations.numeric_positions(names).collect()} == {"a/f2.jpg": 0, "f007": 1, "a/f10.jpg": 2, "f10b.jpg": 2}
+    train = frame(spark, [("s", "l", 1), ("s", "l", 0), ("s", "m", 1), ("t", "l", 0), ("t", "l", None)], "s string, l string, y int")
+    rows = frame(spark, [("s", "l"), ("s", "q"), ("t", "q"), ("u", "l"), (None, "l")], "s string, l string")
+    got = {(r["s"], r["l"]): r["predicted"] for r in relations.backoff_baseline(train, rows, [["s", "l"], ["s"]], "y").collect()}
+    assert got == {("s", "l"): 0, ("s", "q"): 1, ("t", "q"): 0, ("u", "l"): 0, (None, "l"): 0}
+
+
+def test_eligibility(spark):
+    f = frame(spark, [(1, 0.1, True), (2, None, True), (3, 0.9, True), (4, 0.1, False)], "i long, d double, q boolean")
+    got = {r["i"]: (r["eligible_base"], r["confirmatory_eligible"]) for r in triplets.eligibility(f, {"d": "d >= 0"}, {"near": "d < 0.5", "q": "q"}).collect()}
+    assert got == {1: (True, True), 2: (False, False), 3: (True, False), 4: (True, False)}
+
+
 # ---- linear algebra
 
 
@@ -226,6 +325,10 @@ def test_pools(spark):
     assert p["a"]["box"] == pytest.approx([4 / 3, 1.0]) and p["a"]["context"] == pytest.approx([2.0, 1.0])
     assert p["b"]["box"] is None and p["b"]["reason"] == "region_below_minimum_mass"
     assert p["c"]["box"] == pytest.approx(p["c"]["full"]) and p["c"]["context"] is None and p["c"]["reason"] == "context_below_minimum_mass"
+    masked = frame(spark, [(*r, 1.0 if r[0] == "a" else 0.0) for r in rows], "observation_id string, embedding array<double>, occupancy double, m double")
+    q = {r["observation_id"]: r for r in pooling.region_pools(masked.repartition(5), mask="m").collect()}
+    assert q["a"]["mask"] == pytest.approx([1.5, 1.0]) and q["c"]["mask"] is None and q["a"]["box"] == pytest.approx(p["a"]["box"])
+    assert (pooling.erase(np.ones((2, 2, 3), np.float32), np.array([[1, 0], [0, 1]])) == np.array([[[0] * 3, [1] * 3], [[1] * 3, [0] * 3]])).all()
     with pytest.raises(PySparkException):
         pooling.region_pools(frame(spark, [("a", [1.0], float("nan"))], "observation_id string, embedding array<double>, occupancy double")).collect()
 
@@ -239,8 +342,12 @@ def test_polygons(spark):
     whole = [0.0, 0.0, 1280.0, 0.0, 1280.0, 720.0, 0.0, 720.0]
     rows = [("a", 0, [whole], 720, 1280), ("a", 1, [whole], 720, 1280), ("b", 0, [[0.0, 0.0, 5.0, 0.0, 5.0, 5.0]], 720, 1280), ("c", 0, None, 720, 1280)]
     f = frame(spark, rows, "observation_id string, frame long, polygons array<array<double>>, image_height int, image_width int")
-    got = pooling.polygon_occupancy(f).groupBy("observation_id").agg(F.sum("occupancy").alias("m"), F.count("*").alias("n")).collect()
+    got = pooling.polygon_occupancy(f, empty="skip").groupBy("observation_id").agg(F.sum("occupancy").alias("m"), F.count("*").alias("n")).collect()
     assert [(r["observation_id"], r["m"], r["n"]) for r in got] == [("a", 576.0, 576)]
+    reasons = {(r["observation_id"], r["frame"]): r["reason"] for r in pooling.polygon_reasons(f).collect()}
+    assert reasons == {("a", 0): None, ("a", 1): None, ("b", 0): "mask_outside_encoder_crop", ("c", 0): "no_polygon"}
+    with pytest.raises(PySparkException, match="outside the crop|no polygon"):
+        pooling.polygon_occupancy(f).collect()
 
 
 def test_token_positions(spark):
@@ -270,7 +377,9 @@ def test_groups_transitive(spark):
         groups(spark, [("a", "x"), ("a", "y")], ["asset"])
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("at_once", [0, 1_000_000])
+def test_components_against_union_find(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components.connected_components(frame(spark, edges, "u long, v long")).collect()}
@@ -286,6 +395,8 @@ def test_components_against_union_find(spark):
             a, b = find(a), find(b)
             parent[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in parent}
+    named = components.connected_components(frame(spark, [("é", "z"), ("z", "a"), ("b", "c")], "u string, v string")).collect()
+    assert {tuple(r) for r in named} == {("é", "a"), ("z", "a"), ("a", "a"), ("c", "b"), ("b", "b")}
     assert components.connected_components(frame(spark, [], "u long, v long")).count() == 0
 
 
@@ -444,7 +555,7 @@ def test_candidate_triplets_of_whole_tracks(spark, monkeypatch):
         for a in runs for n in runs for s in runs
         if a[0] == n[0] == s[0] and a != n and a[2] == n[2] != s[2] and apart(a, n) and apart(a, s) and apart(n, s) and abs(gap(a, n) - gap(a, s)) <= 2
     }
-    got = [tuple(r)[1:4] for r in catalogue.queries()["candidate_triplets_whole"](spark, "").collect()]
+    got = [tuple(r)[1:4] for r in catalogue.queries()["candidate_triplets"](spark, "").collect()]
     assert set(got) == want and len(got) == len(want) and any(int(i.split("_")[1]) >= 12 for t in want for i in t)
 
 

@@ -115,7 +115,7 @@ def test_store(spark, tmp_path):
     features(spark, 1).write.mode("append").partitionBy("pool").parquet(run)
     with pytest.raises(RuntimeError):
         store.load_feature(spark, catalog, rows[0]["feature_key"])
-    assert [r["ok"] for r in store.sanity(spark, catalog)] == [False, False]
+    assert [(r["ok"], r["error"] is None) for r in store.sanity(spark, catalog).collect()] == [(False, False)] * 2
     bad = features(spark).withColumn("features", F.array(F.lit(float("nan")).cast("float")))
     with pytest.raises(ValueError):
         store.write_run(bad, str(tmp_path / "bad"), "r", "emb", 1)
@@ -165,3 +165,31 @@ def test_stream_catalog(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert store.read_catalog(spark, str(tmp_path / "cat")).count() == 2
+
+
+def test_frozen_selection_is_evaluated_once(tmp_path):
+    frozen, marker, done, out = (tmp_path / n for n in ("frozen.json", "started.lock", "completed.lock", "locked"))
+    with pytest.raises(ValueError):
+        release.freeze_selection(frozen, {"key": "a"}, {"mask": (True, True)})
+    release.freeze_selection(frozen, {"key": "a"}, {"mask": (False, True), "adapter": (True, False)})
+    with pytest.raises(FileExistsError):
+        release.freeze_selection(frozen, {"key": "b"}, {})
+    text = frozen.read_text()
+    frozen.write_text(text.replace('"a"', '"b"'))
+    with pytest.raises(RuntimeError):
+        release.locked_evaluation(frozen, out, marker, done, lambda folder: {})
+    assert not marker.exists()
+    frozen.write_text(text)
+
+    def fails(folder):
+        (folder / "part.txt").write_text("x")
+        raise OSError("metric failure")
+
+    with pytest.raises(OSError):
+        release.locked_evaluation(frozen, out, marker, done, fails)
+    assert marker.exists() and not out.exists() and not done.exists()
+    with pytest.raises(FileExistsError):
+        release.locked_evaluation(frozen, out, marker, done, lambda folder: {})
+    marker.unlink()
+    record = release.locked_evaluation(frozen, out, marker, done, lambda folder: (folder / "r.txt").write_text("1") and {"ok": True})
+    assert record["result"] == {"ok": True} and (out / "r.txt").read_text() == "1" and done.exists()
