@@ -17,7 +17,10 @@ Items are taken in blocks of ITEMS rows, whatever the benchmark's size: the broa
 documents.
 
 Defined cases: null or empty texts and items without a word match nothing. Repeated items each match. Texts of any length are read whole,
-in pieces that overlap by the longest item. A null id is kept as it is.
+in pieces that overlap by the longest item. A null id is kept as it is. Repeated documents are rows of their own, each with its matches. Of
+windows of one document that are equally like an item the first is told. An empty table, of documents or of items, gives no match (mark_leaks:
+rows with none). Of the columns only id and text are read, and of kept ones (mark_leaks) a name that is made here raises ValueError; the id
+columns of documents and items may not share a name, as the result has both.
 """
 
 from __future__ import annotations
@@ -273,6 +276,8 @@ def _best(index: Index, data: np.ndarray, offsets: np.ndarray, least: float) ->
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """(id, item, similarity, first_byte): every item that a document holds, the best window of each."""
     spark = docs.sparkSession
+    if id_col == item_col:
+        raise ValueError(f"documents and items can't both be named by {id_col}")
     bounded_batches(spark)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {kind}, item {item_kind}, similarity double, first_byte long"

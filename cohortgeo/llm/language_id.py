@@ -10,8 +10,8 @@ As statistics are frozen, the cost of a byte depends on the ORDER bytes before i
 one trie with a vector of costs at each node, and numpy walks it for all bytes of a batch at once.
 
 Defined cases: a text that is null, empty or without a letter gives `und` and score 0. Ties go to the language first in order of
-name. Every byte of a text of any length is scored. With no labelled row at all, every text is `und`. Repeated rows and clashing extra
-columns are kept as they are.
+name. Every byte of a text of any length is scored. With no labelled row at all, every text is `und`. Repeated rows stay rows. An empty table
+gives no row. Kept columns called lang_pred, score or bits_per_byte raise ValueError; others make no difference.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from cohortgeo.llm.common import map_batches, utf8
 
 #: Longest context, in bytes.
 ORDER = 4
-#: Training takes at most so many documents of each language, those of the least hash, each of at most so many characters.
+#: Training takes at most so many documents of each language, those of the least hash, and of each an excerpt of at most so many characters,
+#: whose place follows from the hash. Prediction reads whole texts.
 DOCS_PER_LANGUAGE, CHARS_PER_DOCUMENT = 300, 20_000
 #: A text is scored in pieces of so many bytes, each after the ORDER bytes before it.
 PIECE = 1 << 19
@@ -37,7 +38,8 @@ def held_out(doc_id: Column) -> Column:
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int = DOCS_PER_LANGUAGE) -> list[tuple[str, bytes]]:
     """A bounded sample of labelled rows, the same at each run: of each label the rows of least hash, thinned by a threshold on the
-    hash before they are ranked, so that no task gets all rows of a label."""
+    hash before they are ranked, so that no task gets all rows of a label. Of a long text an excerpt is taken; no row is left out for its
+    length."""
     base = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     counts = {r[0]: r[1] for r in base.groupBy(label_col).count().collect()}
     if not counts:
@@ -48,9 +50,11 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str,
     for label, n in counts.items():
         part = (F.col(label_col) == F.lit(label)) & (mark < int(min(1.0, 3 * per_label / n + 30 / n) * (1 << 30)))
         keep = part if keep is None else keep | part
+    beyond = F.greatest(F.length(text_col) - CHARS_PER_DOCUMENT, F.lit(0))
+    excerpt = F.substr(F.col(text_col), (F.pmod(mark, beyond + 1) + 1).cast("int"), F.lit(CHARS_PER_DOCUMENT))
     rows = (
-        base.where(keep & (F.length(text_col) <= CHARS_PER_DOCUMENT))
-        .select(F.col(label_col).alias("label"), mark.alias("mark"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+        base.where(keep)
+        .select(F.col(label_col).alias("label"), mark.alias("mark"), F.col(id_col).cast("string").alias("id"), excerpt.alias("text"))
         .distinct()
         .collect()
     )

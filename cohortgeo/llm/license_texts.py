@@ -88,3 +88,20 @@ KNOWN = (
         "any source distribution.",
     ),
 )
+
+#: SHA-256 of the canonical form (licenses.canonical) of whole licence texts as they are commonly distributed. Fixed values.
+DIGESTS = (
+    ("Apache-2.0", "adf220ee02537f83220e088f4488ca0e7557d614fac1cc48967b41d13911d6e0"),
+    ("Artistic-1.0-Perl", "1cb772e72afaa390372533b5d0d8d0e7188d9f037d94405ae2112dd3e4aaf236"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0", "c013975e7948fbb429e6401a5d64848b6ff5cd6ca797e3292daa3e09e354632a"),
+    ("GPL-2.0", "ed7ad4444a3a7778c01f2f18da52cfc712bba83d3ec429baec1104ae980aeea2"),
+    ("GPL-3.0", "85083bb238f39f5b0a79a6e9849b51b02220bdc67ded91c5aa9c18cb91125311"),
+    ("LGPL-2.0", "b13f669678711011384e2e3a4f46cc786e69344bc305cdbebf0870cf3188808b"),
+    ("LGPL-2.1", "9aca0b6bdd7a4c04490d4e44bdf3158266d2762c8ad2b72ec3479745156a31ab"),
+    ("LGPL-3.0", "4d92e9e8c375198d0ba9e47f0acd4c3b7aca8ff73db484b299330bac0fe9096b"),
+    ("MPL-1.1", "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61"),
+    ("MPL-2.0", "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56"),
+)

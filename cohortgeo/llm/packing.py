@@ -4,12 +4,16 @@ A document is its token ids and a closing 0. Only one longer than a sequence is
 piece. Whole pieces are sequences of their own; rests and short documents are packed. Every partition packs its own by best fit in
 decreasing order, by a bit set of the free room in open bins (one step a piece), and emits its bins. Bins that are nearly full stay; of
 the others the UP with most room go up a tree as items of their fill, in groups of FAN partitions, are packed by best fit again, and so on until one group is left. After best fit at most one bin of a group is
-half empty or more; such bins are what can still be merged, each with one of the roomiest bins of another group. So no group of the
+half empty or more; every merge needs such a bin. So of FAN groups at most FAN such bins look for room, and a bin that has room for one of
+them is among the UP roomiest of its group unless UP others have at least as much: what stays behind could only have stood in for one
+that went up, and the number of sequences is that of a tree that sends all bins up (a test holds both alike). No group of the
 tree, the last one included, has more than FAN * UP bins, however many documents there are, and every bin that stays is a sequence.
 
 Tokens are encoded once; the table of pieces is written to the shared folder, and packing works on lengths.
 
-Defined cases: null or empty text is the one id 0. Repeated rows are packed once each; null ids too. An empty table gives no sequence.
+Defined cases: null or empty text is the one id 0. Repeated rows are packed once each; null ids too. Pieces of equal length are packed in the
+order of their rows, and of bins with equal room the last one is taken; which of such pieces lands where says nothing. An empty table gives
+no sequence. Columns other than id and text aren't read; the id column may not be called like a column of the result (ValueError).
 """
 
 from __future__ import annotations
@@ -175,6 +179,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """A row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     if not 0 < length < 1 << 16:
         raise ValueError("length must be 1 to 65535")
+    if id_col in ("piece", "start", "length", "ids_crc32", "sequence_id", "offset"):
+        raise ValueError(f"a column called {id_col} is made here")
     made = materialize(pieces(docs, id_col, text_col, length, path))
     moved = merge_bins(made.where("up").select("bin", "fill"), length)
     return made.join(moved, "bin", "left").select(

@@ -10,6 +10,8 @@ can't: numbers and addresses whose words carry noise marks between them.
 A line without a digit or `@` can hold none of the kinds: it is all O by definition and isn't decoded.
 
 Defined cases: null or empty text has no span. Offsets count code points, ends exclusive. Texts and lines of any length are read whole.
+Spans of one kind never overlap; of those that begin alike the pattern's stands. Repeated rows stay rows, each with its spans. An empty table
+gives no row. Kept columns that are called like a result raise ValueError; others make no difference.
 """
 
 from __future__ import annotations

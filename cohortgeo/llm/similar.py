@@ -5,15 +5,18 @@ arccos(2 J / (1 + J)) / pi, 0.15 at a similarity J of 0.8. So fingerprints have
 segments; sets whose segment differs by at most one bit meet in the index of `simhash.py` (deletion variants, equality join). At 0.8 a
 pair has no such segment with a probability of at most 1 - RECALL, at more similarity with less still. What meets in a segment of
 one half is verified on words of the other half, where unlike sets never pass. What passes is joined to components of candidates, and
-each text of one comes to its task once. There a breadth-first walk compares each newly linked set with the sets not yet linked, by
-exact Jaccard similarity, so a dense group costs its size and not its square. Equal sets are one entry, whatever their number.
+their exact Jaccard similarities decide. Up to LARGE sets come to one task, where a breadth-first walk compares each newly linked set with
+the sets not yet linked, so a dense group costs its size and not its square. A larger component stays where its sets lie: each set is compared
+with some PIVOTS of them; what these link is made into groups; and every set outside the largest group is compared with all sets of the
+component, in blocks. So each pair is compared but for those within the largest group, which is linked already, and no task holds the
+component. Equal sets are one entry, whatever their number.
 
 Segments get longer with the number of rows, and more of them are taken, so that recall is the same and unlike sets meet seldom at every
 size.
 
 Defined cases: null and empty texts, and those without a word, are the empty set and equal; a text of one to four words is one shingle. Null
 ids take part; component_id is the smallest non-null id of a group. Repeated rows stay rows. An empty table gives no row. Columns other
-than id and text aren't read, so their names can't clash. A component of candidates is held by one task.
+than id and text aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -40,6 +43,10 @@ RECALL, WIDTH = 0.965, 18
 CHECK, APART = 2, 0.25
 #: Shingles whose bits are summed at once, and that are Python's at once.
 GROUP, PART = 1 << 15, 1 << 16
+#: Sets that a task holds together; pivots of a larger component in each of ROUNDS rounds, and sets of a block that meets all others.
+LARGE, PIVOTS, ROUNDS, BLOCK = 2000, 32, 2, 256
+#: Rows of pivots or blocks that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 2000
 #: Bits of the map that tells which texts are read again.
 MAP_BITS = 26
 
@@ -165,17 +172,15 @@ def _linked(sets: DataFrame) -> DataFrame:
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict] = {}
+        held: dict[int, list] = {}
         for b in batches:
             for c, fp, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                mine = held.setdefault(c, {})
-                if fp not in mine:  # rows of equal id and text are picked alike
-                    mine[fp] = np.frombuffer(s.as_py(), np.uint64)
+                held.setdefault(c, []).append((fp, np.frombuffer(s.as_py(), np.uint64)))
         out = []
         for members in held.values():
-            names = sorted(members)
-            label = groups([members[x] for x in names])
-            out += [(names[i], names[k]) for i, k in enumerate(label.tolist())]
+            members.sort(key=lambda x: x[0])
+            label = groups([s for _, s in members])
+            out += [(members[i][0], members[k][0]) for i, k in enumerate(label.tolist())]
         held.clear()
         if out:
             fp, head = np.array(out, np.int64).T
@@ -185,6 +190,68 @@ def _linked(sets: DataFrame) -> DataFrame:
     return sets.select("component", "fp", "set").repartition(parts, "component").mapInArrow(run, "fp long, head long")
 
 
+def _alike(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets are like x."""
+    size = np.array([len(s) for s in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(x, flat), max(len(x) - 1, 0))
+    same = np.concatenate([[0], np.cumsum(x[at] == flat)])
+    ends = np.cumsum(size)
+    shared = same[ends] - same[ends - size]
+    return LEAST[1] * shared >= LEAST[0] * (len(x) + size - shared)
+
+
+def _against(members: DataFrame, few: DataFrame) -> DataFrame:
+    """(u, v): links of the members (component, fp, set) with the sets that `few` (component, some: [(fp, set)]) has of their component."""
+    side = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few  # a row holds some hundred sets at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, v = [], []
+            for fp, mine, some in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                like = _alike(np.frombuffer(mine, np.uint64), [np.frombuffer(s["set"], np.uint64) for s in some])
+                other = [s["fp"] for s, ok in zip(some, like) if ok and s["fp"] != fp]
+                u += [fp] * len(other)
+                v += other
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return members.join(side, "component").select("fp", "set", "some").mapInArrow(run, "u long, v long")
+
+
+def _linked_large(sets: DataFrame) -> DataFrame:
+    """(fp, head) of (component, fp, set) of large components."""
+    size = sets.groupBy("component").agg(F.count("*").alias("n"))
+    sets = sets.join(size, "component")
+    entry = F.collect_list(F.struct("fp", "set")).alias("some")
+    edges = None
+    for k in range(ROUNDS):
+        pivots = sets.where(F.pmod(F.xxhash64("fp", F.lit(k)), F.greatest(F.floor(F.col("n") / PIVOTS), F.lit(1))) == 0).groupBy("component").agg(entry)
+        found = _against(sets, pivots)
+        edges = found if edges is None else edges.unionByName(found)
+    edges = materialize(edges)
+    group = connected_components(edges)
+    named = sets.join(group.select(F.col("node").alias("fp"), F.col("component").alias("g")), "fp", "left").select("component", "fp", "set", F.coalesce("g", "fp").alias("g"))
+    named = materialize(named)
+    count = named.groupBy("component", "g").agg(F.count("*").alias("n"))
+    largest = count.groupBy("component").agg(F.max(F.struct("n", "g")).alias("t")).select("component", F.col("t.g").alias("largest"))
+    rest = named.join(largest, "component").where("g <> largest")
+    blocks = rest.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    some = rest.join(blocks, "component").groupBy("component", F.pmod(F.xxhash64("fp"), F.col("blocks")).alias("block")).agg(entry).select("component", "some")
+    edges = edges.unionByName(materialize(_against(named, some)))
+    head = connected_components(edges)
+    return named.join(head.select(F.col("node").alias("fp"), F.col("component").alias("head")), "fp", "left").select("fp", F.coalesce("head", "fp").alias("head"))
+
+
+def _heads(sets: DataFrame) -> DataFrame:
+    """(fp, head): each digest of (component, fp, set) and the name of its group."""
+    size = sets.groupBy("component").agg(F.count("*").alias("n"))
+    big = materialize(size.where(F.col("n") > LARGE).select("component"))
+    if big.isEmpty():
+        return _linked(sets)
+    known = F.broadcast(big) if big.count() <= BROADCAST_ROWS else big
+    return _linked(sets.join(known, "component", "left_anti")).unionByName(_linked_large(sets.join(known, "component", "left_semi")))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS) -> DataFrame:
     """id, pick (a hash of id and text) and component_id of each row."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("pick", F.xxhash64("id", "text"))
@@ -199,7 +266,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     checks = [names[half : half + CHECK] if places[0] < 64 * half else names[:CHECK] for places in segments]
     component = connected_components(join_index(rows.repartition(parts), n, segments, checks, int(APART * 64 * CHECK)))
     nodes = materialize(component.join(least.select("fp", "pick"), component.node == least.fp).select("component", "fp", "pick"))
-    found = materialize(_linked(_sets(base, nodes, shingle).join(nodes, ["fp", "pick"])))
+    # Rows of equal id and text are picked alike.
+    sets = materialize(_sets(base, nodes, shingle).join(nodes, ["fp", "pick"]).groupBy("component", "fp").agg(F.first("set").alias("set")))
+    found = materialize(_heads(sets))
     members = found.join(least.select("fp", "least"), "fp")
     smallest = members.groupBy("head").agg(F.min("least").alias("smallest"))
     moved = members.join(smallest, "head").select("fp", "smallest")

@@ -109,3 +109,14 @@ def test_rows(spark, monkeypatch):
     monkeypatch.setattr(D, "ITEMS", 2)  # several blocks of items
     assert sorted((x["doc_id"] or 0, x["item_id"]) for x in D.leaks(docs, items).collect()) == got
     assert {x["doc_id"]: x["n_leaks"] for x in D.mark_leaks(docs, items, docs.columns).collect()} == marked
+
+
+def test_of_windows_alike_the_first_is_told(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(1, f"one two {item} three four {item} five", 9), (1, item, 9), (2, "one two", 9)], "doc_id long, text string, similarity int")
+    items = spark.createDataFrame([(5, item), (5, item)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["similarity"], r["first_byte"]) for r in D.leaks(docs, items).collect())
+    assert set(got) == {(1, 5, 1.0, 0), (1, 5, 1.0, 8)} and len(got) in (2, 4)
+    assert D.leaks(docs, items.limit(0)).count() == 0 and D.leaks(docs.limit(0), items).count() == 0
+    with pytest.raises(ValueError):
+        D.leaks(docs, items.withColumnRenamed("item_id", "doc_id"), item_col="doc_id")

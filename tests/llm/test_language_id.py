@@ -87,3 +87,11 @@ def test_training_sees_no_held_out_row(spark):
 def test_held_out_accuracy(spark):
     got = L.op1_language_id(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.98
+
+
+def test_languages_with_long_texts_only_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(L, "CHARS_PER_DOCUMENT", 50)
+    rows = [(i, "the cat and the hat " * 20, "en", 0) for i in range(12)] + [(100 + i, "le chat et le chapeau", "fr", 0) for i in range(12)]
+    sample = L.training_sample(documents(spark, rows), "doc_id", "text", "lang")
+    assert {x for x, _ in sample} == {"en", "fr"} and max(len(t) for _, t in sample) == 50
+    assert len({t for x, t in sample if x == "en"}) > 1  # excerpts begin at several places

@@ -1,8 +1,10 @@
 """Canonical forms, and the query's SQL."""
 
+import os
 import re
 
 import duckdb
+import pytest
 
 from cohortgeo.llm import licenses as Z
 from cohortgeo.llm.license_texts import KNOWN
@@ -35,6 +37,18 @@ def test_known_texts_are_apart(spark):
     assert all(r["own"] == r["license"] for r in found)
 
 
+WHOLE = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.exists(f"{WHOLE}/Apache-2.0"), reason="no licence files here")
+def test_whole_licence_files(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Artistic": "Artistic-1.0-Perl"}
+    rows = [(n, open(f"{WHOLE}/{f}", encoding="utf-8").read()) for f, n in files.items() if os.path.exists(f"{WHOLE}/{f}")]
+    rows += [(n, t.upper().replace("\n", "\r\n\n")) for n, t in rows] + [(None, t[:-200]) for _, t in rows]
+    found = Z.scan(spark.createDataFrame(rows, "own string, text string"), ["own"]).collect()
+    assert all(r["own"] == r["license"] for r in found) and len(found) == len(rows)
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = Z.scan(docs, ["doc_id"])._jdf.queryExecution().toString()

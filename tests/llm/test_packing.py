@@ -83,6 +83,23 @@ def test_tree_merges_underfull_bins(spark, library):
     assert check(rows, got, 64, library) <= 5
 
 
+@pytest.mark.parametrize("low, high", [(1, 64), (20, 40), (33, 64), (1, 20)])
+def test_bins_that_stay_behind_lose_no_sequence(spark, monkeypatch, low, high):
+    """As many sequences as if all bins went up the tree, on very uneven partitions."""
+    r = np.random.default_rng(low + high)
+    sizes = [r.integers(low, high + 1, n) for n in (900, 1, 2, 40, 1, 300, 3, 1, 1, 5, 700, 2, 1, 1, 60, 1, 1, 8, 1, 2)]
+    bins = [((p << 32) + b, int(f)) for p, s in enumerate(sizes) for b, f in enumerate(K.best_fit(s, 64)[2])]
+    left = {}
+    for up in (9, 64, 10**9):
+        monkeypatch.setattr(K, "UP", up)
+        monkeypatch.setattr(K, "NEARLY", 0)
+        by_part = [[b for b in bins if b[0] >> 32 == p] for p in range(len(sizes))]
+        open_ = [x for mine in by_part for x, ok in zip(mine, K._roomiest(np.array([f for _, f in mine]), 64)) if ok]
+        moved = K.merge_bins(spark.createDataFrame(open_, "bin long, fill long"), 64).collect()
+        left[up] = len(bins) - sum(x["bin"] != x["sequence_id"] for x in moved)
+    assert left[9] == left[64] == left[10**9]
+
+
 def test_empty(spark):
     assert K.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):

@@ -99,3 +99,29 @@ def test_rows(spark):
     got = {(x["doc_id"], x["component_id"]) for x in M.near_copies(docs).collect()}
     assert got == {(9, 4), (4, 4), (None, 4), (30, 30), (31, 30), (None, None), (50, 50), (51, 51)}
     assert M.near_copies(docs.limit(0)).count() == 0
+
+
+def test_large_components_are_linked_alike(spark, monkeypatch):
+    """Chains, a dense group and outliers of one component, in one task and over all."""
+    r = random.Random(9)
+    base = text(r, 120)
+    texts = [base] + [copy(r, base, 0.6, 0.95) for _ in range(60)]
+    for _ in range(10):
+        texts.append(copy(r, texts[-1], 0.75, 0.9))
+    docs = [M.shingles(np.frombuffer(t.encode(), np.uint8)) for t in texts]
+    rows = [(7, i, s.tobytes()) for i, s in enumerate(docs)] + [(8, 1000 + i, s.tobytes()) for i, s in enumerate(docs[:3])]
+    sets = spark.createDataFrame([(c, fp, bytearray(s)) for c, fp, s in rows], "component long, fp long, set binary").repartition(4)
+
+    def partition(heads):
+        by = {}
+        for x in heads:
+            by.setdefault(x["head"], set()).add(x["fp"])
+        return sorted(map(sorted, by.values()))
+
+    want = partition(M._heads(sets).collect())
+    assert 1 < len(want) < len(rows)
+    for pivots, block in ((3, 2), (32, 256), (10**6, 1)):
+        monkeypatch.setattr(M, "LARGE", 2)
+        monkeypatch.setattr(M, "PIVOTS", pivots)
+        monkeypatch.setattr(M, "BLOCK", block)
+        assert partition(M._heads(sets).collect()) == want
