@@ -22,6 +22,15 @@ class CropGeometry:
     crop: int
 
 
+def crop_window(height: int, width: int, crop: int = CROP) -> tuple[int, int, int, int]:
+    """R1 in plain numbers: resized height and width, top and left of the crop."""
+    if height <= 0 or width <= 0:
+        raise ValueError("image sizes must be positive")
+    short = int(crop * 256 / 224)
+    rh, rw = (int(short * height / width), short) if height > width else (short, int(short * width / height))
+    return rh, rw, round((rh - crop) / 2.0), round((rw - crop) / 2.0)
+
+
 def crop_geometry(height: Column, width: Column, crop: int = CROP) -> CropGeometry:
     """The short side becomes int(crop * 256 / 224), the long one is truncated, offsets round half to even. Non-positive sizes raise."""
     short = int(crop * 256 / 224)

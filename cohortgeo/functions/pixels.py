@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from cohortgeo.functions.boxes import CROP
+from cohortgeo.functions.boxes import CROP, crop_window
 
 #: Channel means and deviations that RGB frames are normalised by.
 MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
@@ -34,16 +34,11 @@ def preprocess(frames: np.ndarray, crop: int = CROP) -> np.ndarray:
     frames = np.asarray(frames)
     if frames.ndim != 4 or frames.shape[3] != 3 or frames.shape[0] not in FRAMES:
         raise ValueError("frames must be [1 or 16, H, W, 3]")
-    h, w = frames.shape[1:3]
-    if h <= 0 or w <= 0:
-        raise ValueError("image sizes must be positive")
-    short = int(crop * 256 / 224)
-    rh, rw = (int(short * h / w), short) if h > w else (short, int(short * w / h))
+    rh, rw, top, left = crop_window(*frames.shape[1:3], crop)
     x = frames.astype(np.float64)
     if frames.dtype == np.uint8 or x.max(initial=0) > 1:
         x = x / 255
     x = resize_bilinear(x, rh, rw)
-    top, left = round((rh - crop) / 2.0), round((rw - crop) / 2.0)
     x = x[:, top : top + crop, left : left + crop]
     return ((x - MEAN) / DEVIATION).astype(np.float32)
 
@@ -70,13 +65,15 @@ def clean_state(state: Mapping[str, object], prefixes=("module.", "backbone."))
     return out
 
 
-def map_decoded(rows: DataFrame, decode: Callable[[pd.Series], np.ndarray], use: Callable[[pd.Series, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """S10's seam: `decode` makes frames of a row (which decoder is the caller's choice), `use` rows of them; pixels stay in the task."""
+def map_decoded(rows: DataFrame, decode: Callable[[dict], np.ndarray], use: Callable[[dict, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """S10's seam: `decode` makes frames of a row (which decoder is the caller's choice), `use` rows of them; pixels stay in the task, those of
+    one row at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [use(row, decode(row)) for _, row in batch.iterrows()]
-            if parts:
-                yield pd.concat(parts)
+            columns = {c: batch[c].tolist() for c in batch}
+            for values in zip(*columns.values()):
+                row = dict(zip(columns, values))
+                yield use(row, decode(row))
 
     return rows.mapInPandas(run, schema)

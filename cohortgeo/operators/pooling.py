@@ -95,9 +95,7 @@ def fill_polygons(polygons: list, height: int, width: int) -> np.ndarray:
 def crop_mask(mask: np.ndarray, crop: int = B.CROP) -> np.ndarray:
     """R5 for masks: nearest resize of the short side and centre crop."""
     h, w = mask.shape
-    short = int(crop * 256 / 224)
-    rh, rw = (int(short * h / w), short) if h > w else (short, int(short * w / h))
-    top, left = round((rh - crop) / 2.0), round((rw - crop) / 2.0)
+    rh, rw, top, left = B.crop_window(h, w, crop)
     rows = np.minimum(((np.arange(crop) + top) * (h / rh)).astype(int), h - 1)
     columns = np.minimum(((np.arange(crop) + left) * (w / rw)).astype(int), w - 1)
     return mask[np.ix_(rows, columns)]
