@@ -1,4 +1,4 @@
-"""python -m cohortgeo COMMAND: audit, validate, groups, splits, candidates, phases, release. Exit 0: done; 2: failed closed."""
+"""python -m cohortgeo COMMAND: audit, validate, groups, splits, candidates, phases, extract, release. Exit 0: done; 2: failed closed."""
 
 from __future__ import annotations
 
@@ -10,9 +10,9 @@ from pyspark.sql import SparkSession, functions as F
 
 from cohortgeo.functions import hashing
 from cohortgeo.functions.predicates import csv_values
-from cohortgeo.operators import components, phases, segments, splits, validation
+from cohortgeo.operators import components, phases, pooling, segments, splits, validation
 from cohortgeo.session import with_package
-from cohortgeo.sources import inventory, release, tables
+from cohortgeo.sources import inventory, release, store, tables
 
 
 def _report(path: str | None, value: dict) -> None:
@@ -79,6 +79,22 @@ def phase(spark, a) -> int:
     return 0
 
 
+def extract(spark, a) -> int:
+    """E6, from a table of the frozen encoder's tokens (row_index, observation_id, embedding, occupancy): pools, a run and its catalog rows."""
+    if a.layer != 11:
+        raise SystemExit("only layer 11 is extracted")
+    tokens = tables.read_table(spark, a.tokens)
+    pools = pooling.region_pools(tokens, "observation_id", least_mass=a.least_mass)
+    lost = pools.where("reason is not null")
+    names = F.array(*[F.struct(F.lit(n).alias("pool"), F.col(c).cast("array<float>").alias("features")) for n, c in (("box", "box"), ("full", "full"), ("context_tokens", "context"))])
+    index = tokens.groupBy("observation_id").agg(F.min("row_index").alias("row_index"))
+    rows = pools.where("reason is null").join(index, "observation_id").select("row_index", "observation_id", F.inline(names))
+    made = store.write_run(rows, a.output, a.run_id or store.new_run_id(), a.prefix, a.layer)
+    store.append_catalog(spark, a.catalog, made)
+    _report(a.report, {"keys": [r["feature_key"] for r in made], "rows": made[0]["rows"], "excluded": {r["reason"]: r["n"] for r in lost.groupBy("reason").agg(F.count("*").alias("n")).collect()}})
+    return 0
+
+
 def release_views(spark, a) -> int:
     """C7; the safety flag is mandatory."""
     if not a.seal_test:
@@ -111,6 +127,9 @@ def parser() -> argparse.ArgumentParser:
     )
     command("candidates", candidates, need("--labels", nargs="+"), need("--output"), need("--revision"), may("--window", type=int, default=segments.WINDOW))
     command("phases", phase, need("--input"), need("--output"), may("--least", type=int, default=2), flag("--canonicalize"))
+    command(
+        "extract", extract, need("--tokens"), need("--output"), need("--catalog"), need("--prefix"), may("--run-id"), may("--layer", type=int, default=11), may("--least-mass", type=float, default=1.0)
+    )
     command("release", release_views, need("--observations"), need("--triplets"), need("--output"), need("--allowlist"), flag("--seal-test"))
     return top
 

@@ -56,6 +56,19 @@ def retrieval_ranks(queries: DataFrame, gallery: DataFrame, key: str, vector: st
     return counts.groupBy("k", "y").agg((F.sum("n") + 1).alias("rank")).select(F.col("k").alias(key), F.col("y").alias(label), "rank")
 
 
+def matched_retrieval(queries: DataFrame, gallery: DataFrame, on: list[str], key: str, vector: str, label: str, start: str, end: str) -> DataFrame:
+    """X15 with hard negatives: (key, rank) of a query's best own-label match among the gallery rows that share the columns `on` (source,
+    category, state) and no frame with it; other rows of equal cosine are before it only if their key is smaller. Queries without such a match
+    have no row. The stated queries meet all rows of their context."""
+    side = lambda f, p: f.select(*on, *[F.col(c).alias(f"{p}{n}") for n, c in (("k", key), ("y", label), ("s", start), ("e", end))], V.doubles(F.col(vector)).alias(f"{p}v"))
+    apart = (F.col("qe") < F.col("gs")) | (F.col("ge") < F.col("qs"))
+    cos = V.dot(F.col("qv"), F.col("gv")) / (V.norm(F.col("qv")) * V.norm(F.col("gv")))
+    scored = side(queries, "q").join(side(gallery, "g"), on).where((F.col("qk") != F.col("gk")) & apart).select("qk", "gk", (F.col("qy") == F.col("gy")).alias("own"), F.round(cos, 12).alias("c"))
+    best = scored.where("own").groupBy("qk").agg(F.max(F.struct("c", (-F.col("gk")).alias("n"))).alias("b"))
+    ahead = (F.col("c") > F.col("b.c")) | ((F.col("c") == F.col("b.c")) & (F.col("gk") < -F.col("b.n")))
+    return scored.join(best, "qk").groupBy(F.col("qk").alias(key)).agg((F.count_if(ahead) + 1).alias("rank"))
+
+
 def retrieval_summary(ranks: DataFrame) -> DataFrame:
     return ranks.agg(
         F.avg((F.col("rank") <= 1).cast("double")).alias("recall_1"), F.avg((F.col("rank") <= 5).cast("double")).alias("recall_5"),

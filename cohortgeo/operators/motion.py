@@ -206,6 +206,17 @@ def kinematics(boxes: DataFrame, observation: str = "observation_id", frame: str
     return out
 
 
+def registration_bound(rows: DataFrame, observation: str, residual: str, weight: str, bound: float, share: float = 0.9) -> DataFrame:
+    """(observation, quantile, valid): the least residual of background registration whose running weight reaches the share of the
+    observation's whole weight, and whether it is under the bound. Rows without a positive weight or a residual don't count; an observation
+    without others is not valid."""
+    counted = rows.where((F.col(weight) > 0) & F.col(residual).isNotNull())
+    w = Window.partitionBy(observation)
+    ranked = counted.withColumn("__run", F.sum(weight).over(w.orderBy(residual))).withColumn("__all", F.sum(weight).over(w))
+    found = ranked.groupBy(observation).agg(F.min(F.when(F.col("__run") >= share * F.col("__all") - 1e-12, F.col(residual))).alias("quantile"))
+    return rows.select(observation).distinct().join(found, observation, "left").withColumn("valid", F.coalesce(F.col("quantile") < bound, F.lit(False)))
+
+
 def quality_pass(ranges: dict[str, tuple[float, float]]) -> Column:
     """Every component within its range; null fails."""
     ok = F.lit(True)

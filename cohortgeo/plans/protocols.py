@@ -482,6 +482,31 @@ def covariance_loss(spark, sf_dir):
     return spark.createDataFrame([(round(loss, 9), d)], "loss double, dimensions long")
 
 
+@query(
+    f"""with {X.FEAT}, c as (select q.observation_id qk, g.observation_id gk, q.label = g.label own, round(list_cosine_similarity(q.v, g.v), 12) c from feat q join feat g on q.observation_id % 3 = g.observation_id % 3
+where q.observation_id % 50 = 0 and abs(q.observation_id - g.observation_id) > 6),
+b as (select qk, c, gk from c where own qualify row_number() over (partition by qk order by c desc, gk) = 1)
+select c.qk vec_id, count(*) filter (c.c > b.c or (c.c = b.c and c.gk < b.gk)) + 1 as rank from c join b on b.qk = c.qk group by 1"""
+)
+def matched_retrieval(spark, sf_dir):
+    """Queries are ids divisible by 50; frames of ids that differ by 6 or less overlap."""
+    i = F.col("vec_id")
+    e = X.table(spark, sf_dir, "embeddings").withColumns({"context": i % 3, "first": i * 2, "last": i * 2 + 12})
+    return evaluation.matched_retrieval(e.where("vec_id % 50 = 0"), e, ["context"], "vec_id", "embedding", "label", "first", "last")
+
+
+@query(
+    f"""with {X.FRAMES}, r as (select sequence_id, ((frame * 31) % 17) / 4.0::double v, (frame % 5)::double w from frames),
+k as (select *, sum(w) over (partition by sequence_id order by v range between unbounded preceding and current row) run, sum(w) over (partition by sequence_id) total from r where w > 0),
+q as (select sequence_id, min(v) filter (run >= 0.9 * total - 1e-12) quantile from k group by 1)
+select s.sequence_id, quantile, coalesce(quantile < 3.9, false) valid from (select distinct sequence_id from frames) s left join q using (sequence_id)"""
+)
+def registration_bound(spark, sf_dir):
+    f = F.col("frame")
+    rows = X.frames(spark, sf_dir).select("sequence_id", ((f * 31 % 17) / 4.0).alias("v"), (f % 5).cast("double").alias("w"))
+    return motion.registration_bound(rows, "sequence_id", "v", "w", 3.9)
+
+
 @query()
 def linear_ar_horizons(spark, sf_dir):
     """Fitted on even labels, told on all."""

@@ -13,5 +13,8 @@ def spark():
 
     session = local_session(4, shuffle_partitions=4, memory="4g")
     session.sparkContext.setLogLevel("ERROR")
+    # Hundreds of small plans: compiling each takes longer than running it. Benchmarks and queries run with generated code.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()
