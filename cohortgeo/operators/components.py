@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortgeo.sources.shared import discard, materialize
 
@@ -43,11 +43,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
-    """The edges as a table, and their number and an order-free sum of hashes, taken while they are written."""
-    seen = Observation()
-    out = materialize(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
-    return out, seen.get
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number and an order-free sum of hashes. (Not by an Observation: once a session has one, plans that
+    carry the session along can't be sent to executors.)"""
+    out = materialize(edges)
+    return out, tuple(out.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first())
 
 
 def _closed(edges: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> Da
     edges = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = _written(edges)
-    if before["n"] <= AT_ONCE:
+    if before[0] <= AT_ONCE:
         return _closed(edges)
     for _ in range(MAX_ROUNDS):
         last = edges
